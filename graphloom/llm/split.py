@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
 WORD = re.compile(r"\S+")
 PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
@@ -77,7 +77,7 @@ def split_oversized(
     can't exceed the limit by their length alone never leave the JVM.
     """
     fields = [df.schema[key], *[df.schema[c] for c in carried]]
-    schema = StructType(fields).add("piece_index", "int").add("n_pieces", "int").add("char_offset", "long").add("n_words", "int").add("text", "string")
+    schema = StructType(fields).add("piece_index", IntegerType()).add("n_pieces", IntegerType()).add("char_offset", LongType()).add("n_words", IntegerType()).add("text", StringType())
     n = len(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -63,7 +63,7 @@ def piece_pattern() -> re.Pattern:
     Letters and numbers stand first: no other alternative can match where they do, and most pieces are words.
     """
     letter, number = _char_classes()
-    space = r"\t-\r \x85\xa0  -     　"  # fixed values: the White_Space property
+    space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # fixed values: the White_Space property
     return re.compile(
         f" ?[{letter}]+| ?[{number}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
     )
