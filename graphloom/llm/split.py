@@ -77,8 +77,8 @@ def split_oversized(
     can't exceed the limit by their length alone never leave the JVM.
     """
     fields = [df.schema[key], *[df.schema[c] for c in carried]]
-    schema = StructType(fields).add("piece_index", IntegerType()).add("n_pieces", IntegerType()).add("char_offset", LongType()).add("n_words", IntegerType()).add("text", StringType())
-    n = len(fields)
+    schema = StructType([*fields]).add("piece_index", IntegerType()).add("n_pieces", IntegerType()).add("char_offset", LongType()).add("n_words", IntegerType()).add("text", StringType())
+    n = 1 + len(carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
