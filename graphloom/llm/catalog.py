@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import split, tokenize
+from graphloom.llm import language, split, tokenize
 from graphloom.sources.tables import first_delivery, table
 
 
@@ -31,8 +31,17 @@ def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, directory, "documents"))
 
 
+def p9_languages(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    return language.label_languages(documents, language.sample_and_fit(documents))
+
+
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    return language.undeclared(p9_languages(spark, directory))
+
+
 def queries():
-    return {"p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids}
+    return {"p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p9_found": p9_found, "p9_languages": p9_languages}
 
 
 def oracle_sql():
