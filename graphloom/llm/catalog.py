@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language, near_duplicates, split, tokenize
+from graphloom.llm import knn, language, near_duplicates, split, tokenize
 from graphloom.sources.tables import first_delivery, table
 
 
@@ -17,6 +17,14 @@ def chunks_once(spark: SparkSession, directory: str, columns: list[str]) -> Data
     return df
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    return knn.similar_pairs(knn.neighbours(table(spark, directory, "vectors"), least=0.9))
+
+
+def p2_neighbours(spark: SparkSession, directory: str) -> DataFrame:
+    return knn.neighbours(table(spark, directory, "vectors"))
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     chunks = table(spark, directory, "chunks").select("chunk_id", "text")
     return near_duplicates.pairs(*near_duplicates.near_duplicates(chunks))
@@ -51,7 +59,7 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries():
-    return {"p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p9_found": p9_found, "p9_languages": p9_languages}
+    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p9_found": p9_found, "p9_languages": p9_languages}
 
 
 def oracle_sql():
