@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import knn, language, near_duplicates, split, tokenize
+from graphloom.llm import canonical, knn, language, near_duplicates, split, tokenize
 from graphloom.sources.tables import first_delivery, table
 
 
@@ -17,6 +17,19 @@ def chunks_once(spark: SparkSession, directory: str, columns: list[str]) -> Data
     return df
 
 
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    entries = table(spark, directory, "entities")
+    spans = canonical.unlisted(table(spark, directory, "ner_entities").select("span_id", "label", "text", "canonical_name"), entries)
+    return canonical.map_values(spans, entries, table(spark, directory, "synonyms"))
+
+
+def p1_unmatched(spark: SparkSession, directory: str) -> DataFrame:
+    """The values that stand for no entry, with the number of their spans."""
+    spans = table(spark, directory, "ner_entities").select("span_id", "label", "text").dropDuplicates(["span_id"])
+    lost = p1_found(spark, directory).where("name = ''").select("span_id")
+    return spans.join(lost, "span_id").groupBy("label", "text").agg(F.count(F.lit(1)).alias("n_spans"))
+
+
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     return knn.similar_pairs(knn.neighbours(table(spark, directory, "vectors"), least=0.9))
 
@@ -59,7 +72,7 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries():
-    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p9_found": p9_found, "p9_languages": p9_languages}
+    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p9_found": p9_found, "p9_languages": p9_languages}
 
 
 def oracle_sql():
