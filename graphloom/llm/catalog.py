@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import canonical, knn, language, near_duplicates, split, tokenize
+from graphloom.llm import canonical, knn, language, near_duplicates, scanned, split, tokenize
 from graphloom.sources.tables import first_delivery, table
 
 
@@ -58,6 +58,17 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     return p5_pieces(spark, directory).where("piece_index = 0").select("chunk_id")
 
 
+def p6_texts(spark: SparkSession, directory: str) -> DataFrame:
+    """The repaired text of each scanned chunk, with its defects."""
+    chunks = table(spark, directory, "chunks").select("chunk_id", "text", F.coalesce("paper_id", F.regexp_replace("chunk_id", "__[^_]*$", "")).alias("paper_id"))
+    names = scanned.name_words(table(spark, directory, "entities"))
+    return scanned.repair_scans(chunks, table(spark, directory, "papers"), names)
+
+
+def p6_found(spark: SparkSession, directory: str) -> DataFrame:
+    return scanned.defects(p6_texts(spark, directory))
+
+
 def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, directory, "documents"))
 
@@ -72,7 +83,7 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries():
-    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p9_found": p9_found, "p9_languages": p9_languages}
+    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_texts": p6_texts, "p7_ids": p7_ids, "p9_found": p9_found, "p9_languages": p9_languages}
 
 
 def oracle_sql():
