@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import canonical, knn, language, near_duplicates, scanned, split, tokenize
+from graphloom.llm import canonical, knn, language, mixing, near_duplicates, scanned, split, tokenize
 from graphloom.sources.tables import first_delivery, table
 
 
@@ -73,6 +73,38 @@ def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, directory, "documents"))
 
 
+#: The tree above the sources of the mixture: domain and language.
+SOURCE_TREE = {
+    "open_journals": ("literature", "many"),
+    "preprint_feed": ("literature", "many"),
+    "review_archive": ("literature", "en"),
+    "congress_abstracts": ("literature", "en"),
+    "thesis_store": ("literature", "en"),
+    "trial_registry": ("clinical", "many"),
+    "case_reports": ("clinical", "en"),
+    "patient_leaflets": ("clinical", "many"),
+    "regional_bulletins": ("clinical", "many"),
+    "patent_digest": ("technical", "en"),
+    "lab_protocols": ("technical", "en"),
+    "methods_wiki": ("technical", "en"),
+    "consortium_memos": ("technical", "en"),
+}
+
+
+def _mixed(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    places = spark.createDataFrame([(s, d, l) for s, (d, l) in SOURCE_TREE.items()], "source string, domain string, language string")
+    targets = table(spark, directory, "mix_targets").join(F.broadcast(places), "source", "left")
+    return mixing.mix(table(spark, directory, "documents"), targets, levels=("domain", "language", "source"))
+
+
+def p8_mix(spark: SparkSession, directory: str) -> DataFrame:
+    return _mixed(spark, directory)[0]
+
+
+def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
+    return _mixed(spark, directory)[1]
+
+
 def p9_languages(spark: SparkSession, directory: str) -> DataFrame:
     documents = table(spark, directory, "documents")
     return language.label_languages(documents, language.sample_and_fit(documents))
@@ -83,7 +115,7 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries():
-    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_texts": p6_texts, "p7_ids": p7_ids, "p9_found": p9_found, "p9_languages": p9_languages}
+    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_texts": p6_texts, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_languages": p9_languages}
 
 
 def oracle_sql():
