@@ -67,12 +67,17 @@ def confidence_record(raw: Column) -> Column:
     )
 
 
+def interval_text(lower: Column, upper: Column) -> Column:
+    """``[0.12, 0.34]``; rounded from the exact binary values, halves to even, as ``format_number`` does."""
+    return F.concat(F.lit("["), F.format_number(lower, 2), F.lit(", "), F.format_number(upper, 2), F.lit("]"))
+
+
 def badge(record: Column) -> Column:
     """What a confidence record shows: colour, fraction, interval, and contradictions unless there are none."""
     colour = F.when(record["label"] == "High", "green").when(record["label"] == "Low", "red").otherwise("orange")
     return F.struct(
         colour.alias("colour"),
         (record["score"] / 100).alias("fraction"),
-        F.format_string("[%.2f, %.2f]", record["lower_bound"], record["upper_bound"]).alias("interval"),
+        interval_text(record["lower_bound"], record["upper_bound"]).alias("interval"),
         F.when(F.lower(record["contradictions"]) != "none", record["contradictions"]).alias("contradictions"),
     )

@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans.stage import staged
+
 #: Identity of an edge.
 EDGE = ("src_label", "src_name", "rel_type", "tgt_label", "tgt_name")
 
@@ -31,6 +33,10 @@ class KnowledgeGraph:
         """The graph without rows."""
         return KnowledgeGraph(*(getattr(self, t).limit(0) for t in ("papers", "chunks", "entities", "mentions", "edges")))
 
+    def staged(self) -> KnowledgeGraph:
+        """The graph with its derived tables written out, so that what follows doesn't compute them again."""
+        return self.with_(**{t: staged(getattr(self, t), t) for t in ("entities", "mentions", "edges")})
+
     def all_edges(self) -> DataFrame:
         """Semantic and structural edges in one table, with nodes named ``label`` and ``key``."""
         semantic = self.edges.select("src_label", F.col("src_name").alias("src_key"), "rel_type", "tgt_label", F.col("tgt_name").alias("tgt_key"))

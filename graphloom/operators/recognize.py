@@ -17,19 +17,34 @@ SPAN = "text string, raw_label string, start_char int, end_char int, umls_cui st
 
 
 class Gazetteer:
-    """The offline recogniser: longest names of a fixed list, at word bounds, in any case."""
+    """The offline recogniser: the longest names of a fixed list, at word bounds, in any case.
+
+    Names are found by their first word, so a text costs about one lookup a word however long the list is.
+    """
+
+    WORD = re.compile(r"\w+")
 
     def __init__(self, names: list[tuple[str, str]]):
-        self.names = {n.lower(): (n, label) for n, label in sorted(names) if n}
-        each = sorted(map(re.escape, self.names), key=lambda n: (-len(n), n))
-        self.pattern = re.compile(rf"(?<!\w)(?:{'|'.join(each)})(?!\w)", re.I) if each else None
+        self.by_first: dict[str, list[tuple[str, str, str]]] = {}
+        for name, label in sorted(set(names)):
+            first = self.WORD.search(name or "")
+            if first and not first.start():
+                self.by_first.setdefault(first.group().lower(), []).append((name.lower(), name, label))
+        for found in self.by_first.values():
+            found.sort(key=lambda x: (-len(x[0]), x))
 
     def __call__(self, text: str) -> list[tuple]:
-        found = []
-        for m in self.pattern.finditer(text) if self.pattern and text else ():
-            known = self.names.get(m.group().lower())
-            if known:
-                found.append((m.group(), known[1], m.start(), m.end(), None, known[0], 1.0))
+        found, end, low = [], 0, (text or "").lower()
+        if len(low) != len(text or ""):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        for m in self.WORD.finditer(low):
+            at = m.start()
+            for key, name, label in self.by_first.get(m.group(), ()) if at >= end else ():
+                stop = at + len(key)
+                if low.startswith(key, at) and not (low[stop : stop + 1].isalnum() or low[stop : stop + 1] == "_"):
+                    found.append((text[at:stop], label, at, stop, None, name, 1.0))
+                    end = stop
+                    break
         return found
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.graph import EDGE, KnowledgeGraph
+from graphloom.plans.stage import staged
 
 
 def synonym_map(entities: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -55,5 +56,6 @@ def rename(graph: KnowledgeGraph, mapping: DataFrame) -> KnowledgeGraph:
 
 def resolve(graph: KnowledgeGraph, synonyms: DataFrame) -> KnowledgeGraph:
     """Both passes; neither needs a closure, as each maps a name once."""
-    graph = rename(graph, synonym_map(graph.entities, synonyms))
-    return rename(graph, normal_map(graph.entities, graph.mentions))
+    graph = graph.staged()
+    graph = rename(graph, staged(synonym_map(graph.entities, synonyms), "synonyms")).staged()
+    return rename(graph, staged(normal_map(graph.entities, graph.mentions), "normal")).staged()

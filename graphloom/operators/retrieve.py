@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.config import LABELS
+from graphloom.functions.stats import interval_text
 from graphloom.graph import KnowledgeGraph
 from graphloom.operators.embed import nearest
 from graphloom.operators.paths import best_of
@@ -127,7 +128,7 @@ def evidence_ids(trace: DataFrame) -> DataFrame:
 
 def relationship_table(graph: KnowledgeGraph, label: str, name: str) -> DataFrame:
     """The relationships of an entity with the interval as text, a dash where there is none."""
-    shown = F.format_string("[%.2f, %.2f]", "confidence_lower", "confidence_upper")
+    shown = interval_text(F.col("confidence_lower"), F.col("confidence_upper"))
     interval = F.when(F.col("confidence_lower").isNotNull() & F.col("confidence_upper").isNotNull(), shown).otherwise(F.lit("—"))
     return relationships(graph, label, name).select("direction", "rel_type", "other_label", "other_name", "evidence_count", interval.alias("interval"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.config import EngineConfig
 from graphloom.graph import EDGE, KnowledgeGraph
 from graphloom.operators import chunking, clean_graph, confidence, embed, extract, recognize, resolve, upserts
+from graphloom.plans.stage import staged
 
 
 @dataclass
@@ -36,12 +37,13 @@ class Pipeline:
 
     def build(self, documents: DataFrame, papers: DataFrame, cache: DataFrame | None = None, done: DataFrame | None = None) -> KnowledgeGraph:
         """The graph of the documents; ``done (chunk_id)`` are chunks to skip."""
-        chunks = self.chunks(documents)
+        chunks = staged(self.chunks(documents), "chunks")
         todo = chunks if done is None else upserts.pending_chunks(chunks, done)
-        answers = extract.validated(self.extracted(todo, cache), ["paper_id", "chunk_index", "chunk_id"])
+        raw = staged(self.extracted(todo, cache).select("paper_id", "chunk_index", "chunk_id", "raw"), "answers")  # each text is extracted once
+        answers = staged(extract.validated(raw, ["paper_id", "chunk_index", "chunk_id"]), "validated")
         entities, mentions, edges = upserts.build_events(answers)
         graph = KnowledgeGraph(papers, chunks, upserts.upsert_entities(entities), upserts.upsert_mentions(mentions), upserts.upsert_edges(edges))
-        return self.with_intervals(graph)
+        return self.with_intervals(graph.staged())
 
     def with_intervals(self, graph: KnowledgeGraph) -> KnowledgeGraph:
         scored = confidence.edge_intervals(graph.edges, graph.mentions, self.config.alpha)
@@ -49,7 +51,7 @@ class Pipeline:
 
     def refined(self, graph: KnowledgeGraph, synonyms: DataFrame) -> KnowledgeGraph:
         """Resolved, cleaned, and with the intervals of the merged evidence."""
-        return self.with_intervals(clean_graph.clean(resolve.resolve(graph, synonyms)))
+        return self.with_intervals(clean_graph.clean(resolve.resolve(graph, synonyms)).staged())
 
     def embedded(self, graph: KnowledgeGraph) -> DataFrame:
         """``(label, key, text, embedding)`` of all nodes."""

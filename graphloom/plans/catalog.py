@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import skew_queries, text_queries
+from graphloom.plans import extract_queries, graph_queries, skew_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (text_queries, skew_queries)
+MODULES = (graph_queries, extract_queries, text_queries, skew_queries)
 
 
 def queries() -> dict[str, Query]:
