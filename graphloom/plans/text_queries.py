@@ -8,7 +8,9 @@ from graphloom.functions import text as T
 from graphloom.operators import chunking
 from graphloom.sources.tables import first_delivery, table
 
-STEM = F.coalesce("source", F.lit("un-named_source"))
+def _stem():
+    return F.coalesce("source", F.lit("un-named_source"))
+
 
 
 def _per_document(make):
@@ -55,10 +57,10 @@ def queries():
         "strip_repeated_lines": _per_document(T.without_repeated_lines),
         "figure_captions": _per_document(T.quoted_captions),
         "collapse_blank": _per_document(T.collapsed_blanks),
-        "title_header": _per_document(lambda t: T.with_title(t, STEM)),
+        "title_header": _per_document(lambda t: T.with_title(t, _stem())),
         "caps_headings": _per_document(T.caps_headings),
-        "clean_markdown": _per_document(lambda t: T.cleaned_markdown(t, STEM)),
-        "paper_titles": _per_document(lambda t: T.title_of(t, STEM)),
+        "clean_markdown": _per_document(lambda t: T.cleaned_markdown(t, _stem())),
+        "paper_titles": _per_document(lambda t: T.title_of(t, _stem())),
         "chunk_sections": chunk_sections,
         "chunk_documents": chunk_documents,
         "chunk_windows": chunk_windows,
