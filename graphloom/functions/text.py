@@ -6,6 +6,8 @@ Unicode-aware ``strip`` or ``split`` removes. Texts are expected with ``\n`` lin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ HEADER = rf"(?md)^(#{{2,6}}{WS}+.+|(?:\*\*[^*\n]+\*\*){WS}*)$"
 CAPTION = rf"(?mid)^(fig(?:ure)?\.?{WS}*\d+[a-zA-Z]?[.:–\-]?{WS}*.{{0,200}})$"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def newlines(text: Column) -> Column:
     """Every line end as one line feed."""
     return F.regexp_replace(text, r"\r\n?", "\n")
@@ -36,9 +43,7 @@ def word_count(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines; a line end at the end begins no line."""
-    parts = F.split(text, LINE_END)
-    last = F.element_at(parts, -1)
-    return F.when(last == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, LINE_END), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def without_repeated_lines(text: Column, more_than: int = 3, shorter_than: int = 120, fewer_words: int = 15) -> Column:
@@ -46,12 +51,18 @@ def without_repeated_lines(text: Column, more_than: int = 3, shorter_than: int =
 
     The sorted lines are compared with those ``more_than`` places on, so a long text costs n log n.
     """
-    all_lines = lines(text)
-    ordered = F.array_sort(F.filter(F.transform(all_lines, strip), lambda s: s != ""))
-    many = F.when(F.size(ordered) > more_than, F.sequence(F.lit(1), F.size(ordered) - more_than)).otherwise(F.array().cast("array<int>"))
-    repeated = F.array_distinct(F.transform(F.filter(many, lambda i: F.element_at(ordered, i) == F.element_at(ordered, i + more_than)), lambda i: F.element_at(ordered, i)))
-    noise = F.filter(repeated, lambda s: (F.length(s) < shorter_than) & ~F.startswith(s, F.lit("#")) & (word_count(s) < fewer_words))
-    return F.array_join(F.filter(all_lines, lambda line: ~F.array_contains(noise, strip(line))), "\n")
+
+    def noise(ordered: Column) -> Column:
+        many = F.when(F.size(ordered) > more_than, F.sequence(F.lit(1), F.size(ordered) - more_than)).otherwise(F.array().cast("array<int>"))
+        repeated = F.array_distinct(F.transform(F.filter(many, lambda i: F.element_at(ordered, i) == F.element_at(ordered, i + more_than)), lambda i: F.element_at(ordered, i)))
+        return F.filter(repeated, lambda s: (F.length(s) < shorter_than) & ~F.startswith(s, F.lit("#")) & (word_count(s) < fewer_words))
+
+    def kept(pairs: Column) -> Column:
+        ordered = F.array_sort(F.filter(F.transform(pairs, lambda p: p["s"]), lambda s: s != ""))
+        without = let(let(ordered, noise), lambda n: F.filter(pairs, lambda p: ~F.array_contains(n, p["s"])))
+        return F.array_join(F.transform(without, lambda p: p["line"]), "\n")
+
+    return let(F.transform(lines(text), lambda x: F.struct(x.alias("line"), strip(x).alias("s"))), kept)
 
 
 def quoted_captions(text: Column) -> Column:
@@ -77,14 +88,16 @@ def with_title(text: Column, stem: Column) -> Column:
 
 def cleaned_markdown(text: Column, stem: Column) -> Column:
     """The four clean-up passes in order."""
-    return with_title(collapsed_blanks(quoted_captions(without_repeated_lines(text))), stem)
+    return let(collapsed_blanks(quoted_captions(without_repeated_lines(text))), lambda t: with_title(t, stem))
 
 
 def caps_headings(text: Column, shorter_than: int = 80) -> Column:
     """Short lines in capitals as second-level headings."""
 
     def heading(line: Column) -> Column:
-        s = strip(line)
+        return let(strip(line), lambda s: shown(s, line))
+
+    def shown(s: Column, line: Column) -> Column:
         capital = (F.upper(s) == s) & (F.lower(s) != s) & (F.length(s) < shorter_than)
         return F.when(capital, F.concat(F.lit("## "), title_case(s))).otherwise(line)
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import stats
 from graphloom.graph import EDGE
 
+#: Endpoint pairs up to this number are broadcast (16 MB); more are joined.
+MOST_BROADCAST = 1_000_000
 PAIR = ("src_label", "src_name", "tgt_label", "tgt_name")
 
 
@@ -15,15 +17,18 @@ def comention_counts(edges: DataFrame, mentions: DataFrame) -> DataFrame:
     """Chunks that mention both endpoints, for each distinct endpoint pair of the edges; none for a loop.
 
     Pairs are formed within chunks, whose entities are few, and never per entity: an entity in very many chunks
-    makes no large group. Counts are combined before they are shuffled.
+    makes no large group. Within the counting, names and chunks are 64-bit hashes.
     """
     pairs = edges.where("NOT (src_label = tgt_label AND src_name = tgt_name)").select(*PAIR).distinct()
-    ends = pairs.select(F.col("src_label").alias("label"), F.col("src_name").alias("name")).unionByName(pairs.select(F.col("tgt_label").alias("label"), F.col("tgt_name").alias("name"))).distinct()
-    once = mentions.select("label", "name", "chunk_id").distinct().join(ends, ["label", "name"], "left_semi")
-    left = once.select(F.col("label").alias("src_label"), F.col("name").alias("src_name"), "chunk_id")
-    right = once.select(F.col("label").alias("tgt_label"), F.col("name").alias("tgt_name"), "chunk_id")
-    both = left.join(right, "chunk_id").where("NOT (src_label = tgt_label AND src_name = tgt_name)")
-    return both.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_chunks")).join(pairs, list(PAIR), "left_semi")
+    pairs = pairs.select(*PAIR, F.xxhash64("src_label", "src_name").alias("a"), F.xxhash64("tgt_label", "tgt_name").alias("b"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct()
+    once = mentions.select(F.xxhash64("label", "name").alias("a"), F.xxhash64("chunk_id").alias("chunk")).distinct().join(ends, "a", "left_semi")
+    both = once.join(once.withColumnRenamed("a", "b"), "chunk").where("a <> b")
+    asked = pairs.select("a", "b")
+    # pairs formed within chunks outnumber the asked ones by far: they meet them before any shuffle, or else unsorted
+    asked = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked.hint("shuffle_hash")
+    counts = both.join(asked, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return pairs.join(counts, ["a", "b"]).select(*PAIR, "n_chunks")
 
 
 def edge_intervals(edges: DataFrame, mentions: DataFrame, alpha: float = 0.05, boundary: str = "certain") -> DataFrame:

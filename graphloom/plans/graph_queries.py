@@ -15,12 +15,12 @@ from graphloom.sources.tables import table
 
 
 def edge_confidence(spark, d):
-    g = B.graph(spark, d)
+    g = B.graph(spark, d).staged()
     return confidence.edge_intervals(g.edges, g.mentions).drop("source_chunk_ids")
 
 
 def edge_confidence_wilson(spark, d):
-    g = B.graph(spark, d)
+    g = B.graph(spark, d).staged()
     return confidence.edge_intervals(g.edges, g.mentions, boundary="wilson").select(*EDGE, "confidence_lower", "confidence_upper")
 
 
@@ -144,6 +144,7 @@ def of_hub(make, n=1):
 
 
 def scored(g):
+    g = g.staged()
     return g.with_(edges=confidence.edge_intervals(g.edges, g.mentions))
 
 
