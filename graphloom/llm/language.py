@@ -170,7 +170,7 @@ def fit(texts: list[str], labels: list[str], rounds: int = 3) -> Model:
     parts = [(t[a:b], codes.index(l)) for t, l in zip(texts, labels) for a, b, _ in sentences(t)]
     label = np.array([l for _, l in parts], np.int64)
     joined = "\n".join(p for p, _ in parts)
-    cuts = np.concatenate([[0], np.cumsum([len(p) + 1 for p, _ in parts])])
+    cuts = np.concatenate([[0], np.cumsum([len(p) + 1 for p, _ in parts], dtype=np.int64)])
     cuts[-1] = max(0, cuts[-1] - 1)
     points = _codes(_lower(joined))
     weight = alphabet()[points]
