@@ -29,19 +29,31 @@ def _remove_own_folders() -> None:
         shutil.rmtree(folder, ignore_errors=True)
 
 
+def _folder(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_folder(spark)}/graphloom/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written once to the shared folder and read back: no lineage, and it survives the loss of any executor."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a :func:`staged` table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/graphloom/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
+
+
+def drop_all_staged(spark: SparkSession) -> None:
+    """Delete every staged table of this application; call it when no result is read any more."""
+    _delete(spark, _folder(spark))

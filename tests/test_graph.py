@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom import agent
@@ -124,8 +125,10 @@ def test_tree_aggregation_equals_plain(spark):
 
 def test_staged_tables(spark):
     df = staged(spark.range(5))
-    assert df.count() == 5
+    assert df.count() == 5 and spark.sparkContext.applicationId in df.inputFiles()[0]
     drop_staged(df)
+    with pytest.raises(Exception, match="exist"):
+        df.collect()
 
 
 def test_markdown_and_converters(spark, tmp_path):
