@@ -163,7 +163,7 @@ def search_index(index: DataFrame, heads: DataFrame, plan: Plan, dim: int, k: in
     return queries.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInArrow(run, "key string, neighbour string, cosine double")
 
 
-def neighbours(df: DataFrame, key: str = "key", vector: str = "embedding", dim: int = 64, k: int = 5, least: float = -2.0, probes: int = 5, ef: int = 20) -> DataFrame:
+def neighbours(df: DataFrame, key: str = "key", vector: str = "embedding", dim: int = 64, k: int = 5, least: float = -2.0, probes: int = 5, ef: int = 32) -> DataFrame:
     """``(key, neighbour, cosine)``: for each usable vector the ``k`` other keys with the highest cosine of at least ``least``.
 
     Vectors that are null, not ``dim`` long, all zero, or hold a null, NaN or infinity take no part, nor do null keys;
