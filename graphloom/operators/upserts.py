@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.config import FALLBACK_LABEL, FALLBACK_RELATION, LABELS, RELATIONS
-from graphloom.graph import EDGE
+from graphloom.graph import EDGE, KnowledgeGraph
 
 
 def label_or_fallback(label: Column, labels: tuple[str, ...] = LABELS) -> Column:
@@ -105,3 +105,19 @@ def build_events(extracted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
         F.col("r.source_type").alias("src_label"), F.col("r.source_name").alias("src_name"), F.col("r.relationship").alias("rel_type"), F.col("r.target_type").alias("tgt_label"), F.col("r.target_name").alias("tgt_name"), "chunk_id", F.col("i").alias("seq")
     )
     return named.drop("chunk_id").unionByName(ends[0]).unionByName(ends[1]), named.select("label", "name", "chunk_id"), edges
+
+
+def merged(old: KnowledgeGraph, new: KnowledgeGraph) -> KnowledgeGraph:
+    """Two graphs of different chunks in one: keys unite, counts add up, chunk ids and aliases become sorted unions."""
+    none = F.array().cast("array<string>")
+    both = {t: getattr(old, t).unionByName(getattr(new, t), allowMissingColumns=True) for t in ("papers", "chunks", "entities", "mentions", "edges")}
+    aliases = both["entities"].select("label", "name", "umls_cui", F.explode_outer(F.coalesce("aliases", none)).alias("alias"))
+    ids = both["edges"].select(*EDGE, F.explode("source_chunk_ids").alias("id")).groupBy(*EDGE).agg(F.array_sort(F.collect_set("id")).alias("source_chunk_ids"))
+    counts = both["edges"].groupBy(*EDGE).agg(F.sum("evidence_count").alias("evidence_count"))
+    return KnowledgeGraph(
+        both["papers"].dropDuplicates(["paper_id"]),
+        new.chunks.unionByName(old.chunks.join(new.chunks.select("chunk_id"), "chunk_id", "left_anti"), allowMissingColumns=True),
+        aliases.groupBy("label", "name").agg(F.array_sort(F.collect_set("alias")).alias("aliases"), F.max("umls_cui").alias("umls_cui")),
+        both["mentions"].groupBy("label", "name", "chunk_id").agg(F.sum("count").alias("count")),
+        counts.join(ids, list(EDGE), "left"),
+    )

@@ -153,3 +153,32 @@ def test_streamed_mentions_are_taken_once(spark, tmp_path):
         rows.write.mode("append").parquet(source)
         stream_mentions(spark, source, rows.schema, target, check)
     assert [tuple(r) for r in mentions(spark, target).collect()] == [("Gene", "a", "c1", 4)]
+
+
+def test_command_line_build_and_resume(spark, tmp_path):
+    from graphloom.__main__ import build, load
+
+    docs, out = tmp_path / "docs", str(tmp_path / "out")
+    docs.mkdir()
+    (docs / "one.md").write_text("# T\n\n## A\nAlpha binds beta.")
+    names = spark.createDataFrame([("Gene", "alpha"), ("Drug", "beta")], "label string, name string")
+    build(spark, str(docs), out, names, skip_embed=True)
+    (docs / "two.md").write_text("## B\nAlpha binds beta again.")
+    g = load(spark, build(spark, str(docs), out, names, resume=True, skip_embed=True))
+    edge = g.edges.first()
+    assert edge["evidence_count"] == 2 and len(edge["source_chunk_ids"]) == 2 and g.chunks.count() == 3 and {r["title"] for r in g.papers.collect()} == {"T", "two"}
+
+
+def test_evidence_ids_keep_first_places(spark):
+    trace = spark.createDataFrame([(2, 0, "p__1"), (1, 0, "p__2"), (3, 1, "p__1"), (1, 1, "other"), (1, 2, None)], "seq int, pos int, id string")
+    assert [tuple(r) for r in retrieve.evidence_ids(trace).orderBy("pos").collect()] == [(1, "p__2"), (2, "p__1")]
+
+
+def test_overwritten_intervals_and_vectors(spark):
+    g = graph(spark, edges=[("Gene", "a", "BINDS", "Gene", "b", 1, ["c1"]), ("Gene", "a", "BINDS", "Gene", "c", 1, ["c1"])])
+    new = g.edges.where("tgt_name = 'b'").withColumn("evidence_count", F.lit(7)).withColumn("confidence_lower", F.lit(0.1)).withColumn("confidence_upper", F.lit(0.2))
+    got = {r["tgt_name"]: (r["evidence_count"], r["confidence_lower"]) for r in upserts.overwrite_confidence(g.edges, new).collect()}
+    assert got == {"b": (7, 0.1), "c": (1, None)}
+    nodes = spark.createDataFrame([("x",), ("y",)], "key string")
+    vectors = spark.createDataFrame([("x", [1.0])], "key string, embedding array<float>")
+    assert {r["key"]: r["embedding"] for r in upserts.set_embeddings(nodes, vectors, ["key"]).collect()} == {"x": [1.0], "y": None}
