@@ -7,13 +7,16 @@ Bands of samples propose candidates, the bitmaps (8 longs, compared in generated
 pass are compared exactly by their sets of runs.
 
 At scale: texts are read where they lie and only fixed-size sketches move. Texts with the same words make one class
-that is compared once, so copies cost nothing. A band shared by more than ``crowd`` classes isn't expanded into pairs;
-its members must share a second band, which similar texts do. No text is shuffled: the exact check fetches the texts
-of candidates by a broadcast set of their ids while that is small (its size is counted first), else by a join.
+that is compared once, so copies cost nothing. A band shared by more than ``crowd`` classes is expanded in blocks: its
+members are salted into blocks, every pair of blocks is a group of its own, and the sketches are compared there, so only
+pairs that pass are shuffled, each in the first band that it shares. The work in such a band is quadratic in its classes.
+No text is shuffled: the exact check fetches the texts of candidates by a broadcast set of their ids while that is small
+(its size is counted first), else by a join.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,8 @@ WORDS_OF_SKETCH = 8
 BITS_OF_SKETCH = 64 * WORDS_OF_SKETCH
 #: Ids up to this number are broadcast (8 MB of longs); more are joined.
 MOST_BROADCAST = 1_000_000
+#: Classes of a block of a crowded band, and how many of them are compared with another block at once.
+BLOCK, TILE = 4096, 64
 
 
 def _sketches(texts: list[str], run: int, bands: int, rows: int) -> tuple[np.ndarray, ...]:
@@ -96,18 +101,63 @@ def _pairs_of_lists(lists: DataFrame, ids: str) -> DataFrame:
     return indexed.select("a", F.explode(F.slice(F.col(ids), F.col("__i") + 2, F.greatest(F.size(ids) - F.col("__i") - 1, F.lit(0)))).alias("b"))
 
 
-def candidates(classes: DataFrame, crowd: int = 48) -> DataFrame:
-    """Distinct pairs ``a < b`` of classes that share a band, or two bands where one is crowded."""
+def _most_differing(least: float, samples: int) -> int:
+    """The most differing bits of two odd sketches whose :func:`estimated` similarity is at least ``least``."""
+    shares = ((d, 1 - 2 * d / BITS_OF_SKETCH) for d in range(BITS_OF_SKETCH // 2))
+    return max((d for d, share in shares if 1 + math.log(share) * BITS_OF_SKETCH / 4 / samples >= least), default=-1)
+
+
+def _pairs_of_blocks(members: DataFrame, most: int | None) -> DataFrame:
+    """Pairs ``a < b`` of ``(band, lo, hi, block, same, bands[, sketch])`` across the blocks ``lo`` and ``hi`` of a band.
+
+    With ``most`` only pairs whose sketches differ in at most that many bits; a pair comes in the first band it shares.
+    """
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(list(batches))
+        band, lo, hi = (group[c][0].as_py() for c in ("band", "lo", "hi"))
+        same, block = group["same"].to_numpy(), group["block"].to_numpy()
+        wide = {c: group[c].combine_chunks().flatten().to_numpy().reshape(len(same), -1) for c in ("bands", "sketch") if c in group.column_names}
+        earlier = wide["bands"][:, : int((wide["bands"][0] == band).argmax())].T
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        for at in range(0, len(left), TILE):
+            x, y = left[at : at + TILE], right[at:] if lo == hi else right
+            hit = np.ones((len(x), len(y)), bool)
+            if lo == hi:
+                hit = x[:, None] < y
+            if most is not None:
+                differing = np.zeros(hit.shape, np.uint16)
+                for bits in wide["sketch"].T:
+                    differing += np.bitwise_count((bits[x][:, None] ^ bits[y]).view(np.uint64))
+                hit &= differing <= most
+            for key in earlier if hit.any() else ():
+                hit &= key[x][:, None] != key[y]
+            i, j = np.nonzero(hit)
+            a, b = same[x[i]], same[y[j]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return members.groupBy("band", "lo", "hi").applyInArrow(run_, "a long, b long")
+
+
+def candidates(classes: DataFrame, crowd: int = 48, block: int = BLOCK, most: int | None = None) -> DataFrame:
+    """Distinct pairs ``a < b`` of classes that share a band.
+
+    With ``most`` the classes have a ``sketch``, and pairs from crowded bands may differ in at most that many bits.
+    """
     by_band = classes.select("same", F.explode("bands").alias("band"))
     counted = by_band.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1")
     counted = staged(counted, "bands")
     lists = counted.where(F.col("n") <= crowd).groupBy("band").agg(F.array_sort(F.collect_set("same")).alias("ids"))  # at most crowd
     few = _pairs_of_lists(lists, "ids")
-    crowded = counted.where(F.col("n") > crowd).select("band", "same")
-    both = crowded.join(classes.select("same", F.explode("bands").alias("second")), "same").where("band < second")
-    second = both.select("same", F.xxhash64("band", "second").alias("band"))
-    left, right = second.select(F.col("same").alias("a"), "band"), second.select(F.col("same").alias("b"), "band")
-    return few.unionByName(left.join(right, "band").where("a < b").select("a", "b")).distinct()
+    crowded = counted.where(F.col("n") > crowd)
+    ids = crowded.select("same").distinct()
+    held = classes.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "same", "left_semi")
+    blocks = F.ceil(F.col("n") / block)
+    salted = crowded.withColumn("block", F.pmod(F.xxhash64("band", "same"), blocks)).withColumn("__other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = salted.select("band", F.least("block", "__other").alias("lo"), F.greatest("block", "__other").alias("hi"), "block", "same")
+    wide = ["bands"] if most is None else ["bands", "sketch"]
+    many = _pairs_of_blocks(placed.join(held.select("same", *wide), "same"), most)
+    return few.unionByName(many).distinct()
 
 
 def _run_sets(df: DataFrame, run: int) -> DataFrame:
@@ -138,7 +188,7 @@ def near_duplicates(df: DataFrame, key: str = "chunk_id", text: str = "text", th
     members = sketches.groupBy(F.col(key)).agg(F.min("same").alias("same"))
     heads = sketches.groupBy("same").agg(F.min(key).alias("__head"), F.min_by("bands", key).alias("bands"), F.min_by("sketch", key).alias("sketch"))
     classes = staged(heads, "classes")
-    found = candidates(classes.select("same", "bands"))
+    found = candidates(classes.select("same", "bands", "sketch"), most=_most_differing(threshold - slack, bands * rows))
     bits = classes.select("same", "sketch")
     near = (
         found.join(bits.select(F.col("same").alias("a"), F.col("sketch").alias("__x")), "a")

@@ -192,6 +192,28 @@ def test_crowded_bands_lose_nothing(spark):
     assert {(r["a"], r["b"]) for r in links.collect()} <= {tuple(sorted(p)) for p in tight}
 
 
+
+def test_crowded_family_at_the_threshold(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(240)]
+    texts = {f"d{i:03d}": edited(rng, words, rng.choice((6, 7))) for i in range(150)}
+    df = spark.createDataFrame(list(texts.items()), "chunk_id string, text string")
+    classes = near_duplicates.sketch(df, "chunk_id", "text").drop("chunk_id").distinct().localCheckpoint()
+    bands = {r["same"]: r["bands"] for r in classes.collect()}
+    common = {(a, b): sum(x == y for x, y in zip(bands[a], bands[b])) for a in bands for b in bands if a < b}
+    sharing = {p for p, n in common.items() if n}
+    members, links = near_duplicates.near_duplicates(df)
+    same = {r["chunk_id"]: r["same"] for r in members.collect()}
+    linked = {(r["a"], r["b"]) for r in links.collect()}
+    runs = {k: word_runs(t) for k, t in texts.items()}
+    near = {tuple(sorted((same[a], same[b]))) for a in runs for b in runs if a < b and 0.7 <= len(runs[a] & runs[b]) / len(runs[a] | runs[b]) <= 0.75}
+    estimate = near_duplicates.estimated(F.col("x.sketch"), F.col("y.sketch"), 160)
+    passing = {tuple(r) for r in classes.alias("x").join(classes.alias("y"), F.col("x.same") < F.col("y.same")).where(estimate >= 0.7 - 0.14).select("x.same", "y.same").collect()}
+    assert any(common[p] == 1 for p in near & passing) and near & sharing & passing <= linked
+    assert {tuple(r) for r in near_duplicates.candidates(classes, crowd=5, block=20).collect()} == sharing
+    assert {tuple(r) for r in near_duplicates.candidates(classes, crowd=1000).collect()} == sharing
+
+
 # -- 5 -----------------------------------------------------------------------------------------------------------------
 
 
