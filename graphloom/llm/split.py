@@ -3,8 +3,11 @@
 Method: recursive bisection. A stretch of words longer than the limit minus the overlap is cut at the strongest
 boundary near its midpoint (paragraph end, then sentence end, then line end, then any white space; the nearest of
 equally strong ones), and both halves are treated alike. Cuts stay within a sixth of the stretch from its midpoint, so
-every half has at least a third of its words and the recursion is logarithmic in the length. Then each stretch but
-the first is extended backwards by the overlap.
+every half has at least a third of its words. Where no paragraph or sentence ends there, the window is widened to a
+third on either side and then to the whole stretch; only a stretch without any such end is cut at other white space, in
+the narrow window (the first one not at all while it fits a piece, having no overlap). A gap without ends is cut off by
+a few wide cuts, so the recursion stays logarithmic. Then each stretch but the first is extended backwards by the
+overlap; for neighbours to share all of it no cut lies nearer to the start of the text than the overlap.
 """
 
 from __future__ import annotations
@@ -46,12 +49,18 @@ def bisect(text: str, limit: int = 600, overlap: int = 150) -> list[tuple[int, i
         start, end = open_.pop()
         if end - start <= core:
             continue
-        middle, reach = (start + end) // 2, max(1, (end - start) // 6)
-        low, high = max(start + 1, middle - reach), min(end - 1, middle + reach)
-        best = max(
-            range(low, high + 1),
-            key=lambda i: (boundary_strength(text[slice(*spans[i - 1])], text[spans[i - 1][1] : spans[i][0]]), -abs(i - middle), -i),
-        )
+        middle, size = (start + end) // 2, end - start
+        least = max(start + 1, overlap)
+
+        def strongest(reach: int) -> tuple[int, int, int]:
+            window = range(max(least, middle - reach), min(end - 1, middle + reach) + 1)
+            return max((boundary_strength(text[slice(*spans[i - 1])], text[spans[i - 1][1] : spans[i][0]]), -abs(i - middle), -i) for i in window)
+
+        narrow = max(1, size // 6)
+        found = next((f for f in map(strongest, (narrow, size // 3, size)) if f[0] > 1), None)
+        if found is None and not start and end <= limit:
+            continue
+        best = -(found or strongest(narrow))[2]
         cuts.append(best)
         open_ += [(start, best), (best, end)]
     edges = [0, *sorted(cuts), len(spans)]

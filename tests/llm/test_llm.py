@@ -227,6 +227,19 @@ def test_pieces_cover_and_overlap(words):
     assert all(b - a <= 60 for _, _, a, b in pieces) and all(p[3] - q[2] == 15 for p, q in zip(pieces, pieces[1:]))
 
 
+def test_cuts_in_mid_sentence_only_where_no_end_would_do():
+    rng = random.Random(4)
+    for _ in range(200):
+        lengths = [rng.choice((rng.randrange(1, 40), rng.randrange(40, 300), 700)) for _ in range(rng.randrange(1, 9))]
+        ends = [sum(lengths[: i + 1]) for i in range(len(lengths))]
+        text = " ".join("w." if i + 1 in ends else "w" for i in range(ends[-1]))
+        pieces = split.bisect(text)
+        assert all(b - a <= 600 for _, _, a, b in pieces) and all(p[3] - q[2] == 150 for p, q in zip(pieces, pieces[1:]))
+        for cut in {p[3] for p in pieces} - set(ends):
+            before, after = max((e for e in ends if 150 <= e < cut), default=0), min(e for e in ends if e > cut)
+            assert after - before > (450 if before else 600)
+
+
 def test_split_odd_rows(spark):
     long = "One two three. " * 500
     rows = [("a", "p", None, long, 100), ("a", "p", None, long, 100), ("b", None, "S", long, None), (None, "p", "S", long, 0), ("n", "p", "S", None, 0), ("e", "p", "S", "", 0), ("w", "p", "S", " " * 9000, 0), ("x", "p", "S", "y" * 90000, 0)]
