@@ -1,5 +1,6 @@
 """The training-data operators against brute force, exact round trips, and the odd cases each must stand."""
 
+import inspect
 import math
 import random
 import re
@@ -214,6 +215,20 @@ def test_crowded_family_at_the_threshold(spark):
     assert {tuple(r) for r in near_duplicates.candidates(classes, crowd=1000).collect()} == sharing
 
 
+
+def test_sketch_loses_one_pair_in_ten_thousand_at_the_threshold():
+    rng = np.random.default_rng(1)
+    slack = inspect.signature(near_duplicates.near_duplicates).parameters["slack"].default
+    share = [1 - 2 * d / 512 for d in range(256)]
+    lost, rounds, n = 0, 5, 20_000
+    for _ in range(rounds):
+        flips = 2 * rng.binomial(160, 0.3, n)  # samples that differ at 0.70, each with one bit of either text
+        at = np.repeat(np.arange(n) * 512, flips) + rng.integers(0, 512, flips.sum())
+        differing = (np.bincount(at, minlength=n * 512).reshape(n, 512) & 1).sum(axis=1)
+        lost += sum(d > 255 or 1 + math.log(share[d]) * 0.8 < 0.7 - slack for d in differing.tolist())
+    assert lost <= 2e-4 * rounds * n
+
+
 # -- 5 -----------------------------------------------------------------------------------------------------------------
 
 
