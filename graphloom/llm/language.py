@@ -44,7 +44,7 @@ LEAST_LETTERS, HAN_WEIGHT = 16, 4
 LONGEST_WORD = 25
 #: Nats a letter by which a sentence must be likelier in its language than as random n-grams.
 LEAST_FIT = 4.0
-#: Nats a sentence must be likelier in its language than in that of its neighbours to be taken for another one.
+#: Nats a stretch must be likelier in its language than in that of the text around it to be taken for another one.
 SWITCH = 12.0
 #: Nats a letter by which a sentence of the sample must be likelier in another language to lose its document's label.
 RELABEL = 0.25
@@ -221,13 +221,19 @@ Judged = tuple[str | None, float | None, list[tuple[int, int, str, float, int]]]
 
 
 def _path(score: np.ndarray) -> np.ndarray:
-    """The languages of consecutive sentences with the highest total score, each change costing SWITCH."""
-    back, total = [], score[0]
+    """The languages of consecutive sentences with the highest total score.
+
+    Each stretch in another language than the likeliest one of the whole text costs SWITCH, wherever it stands; the way
+    back costs nothing.
+    """
+    languages = np.arange(score.shape[1])
+    toll = np.where(languages == score.sum(axis=0).argmax(), 0.0, SWITCH)
+    back, total = [], score[0] - toll
     for row in score[1:]:
         best = int(total.argmax())
-        change = total < total[best] - SWITCH
-        back.append(np.where(change, best, np.arange(len(row))))
-        total = np.where(change, total[best] - SWITCH, total) + row
+        change = total < total[best] - toll
+        back.append(np.where(change, best, languages))
+        total = np.where(change, total[best] - toll, total) + row
     out = [int(total.argmax())]
     for step in reversed(back):
         out.append(int(step[out[-1]]))

@@ -390,6 +390,19 @@ def test_held_out_accuracy(more_documents):
     assert sum(right) / len(right) >= 0.8  # a part of the labels is wrong by design
 
 
+def test_foreign_stretch_costs_the_same_anywhere():
+    for gain, taken in ((language.SWITCH - 2, 0), (language.SWITCH + 2, 1)):
+        for at in range(7):
+            for length in (1, 2):
+                score = np.zeros((8, 3))
+                score[:, 0] = 60
+                stretch = slice(at, at + length)
+                score[stretch, 1] = 60 + gain / length
+                expected = np.zeros(8, int)
+                expected[stretch] = taken
+                assert (language._path(score) == expected).all(), (gain, at, length)
+
+
 def test_empty_sample_gives_no_language(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language.label_languages(df, language.sample_and_fit(df)).count() == 0
