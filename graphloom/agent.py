@@ -30,10 +30,13 @@ class Tool:
         return {"name": self.name, "description": self.about, "input_schema": {"type": "object", "properties": properties, "required": list(self.required)}}
 
 
+#: Relationships in one answer of the tool; the pages follow each other in a total order.
+PAGE = 100
+
 TOOLS = (
     Tool("rank_papers", "Papers by their best chunk for a query.", {"query": "string"}, {"top_k": 5}),
     Tool("search_entity", "Entities whose name or alias holds a text.", {"name": "string"}, {"entity_type": "Any"}),
-    Tool("get_entity_relationships", "Edges out of and into an entity.", {"entity_type": "string", "entity_name": "string"}),
+    Tool("get_entity_relationships", f"Edges out of and into an entity, those of most evidence first; {PAGE} a page from page 0 on, and after a full page there may be another.", {"entity_type": "string", "entity_name": "string"}, {"page": 0}),
     Tool("search_chunks", "Chunks near a query or holding it, with those of their entities if asked.", {"query": "string"}, {"top_k": 5, "expand_graph": False}),
     Tool("get_chunk_text", "The text of a chunk.", {"chunk_id": "string"}),
     Tool("find_path", "A shortest path between two entities.", {"source_type": "string", "source_name": "string", "target_type": "string", "target_name": "string"}, {"max_hops": 4}),
@@ -61,7 +64,9 @@ class Toolbox:
         if name == "search_entity":
             return retrieve.search_entity(g.entities, x["name"], x["entity_type"])
         if name == "get_entity_relationships":
-            return retrieve.relationships(g, x["entity_type"], x["entity_name"])
+            edges = retrieve.relationships(g, x["entity_type"], x["entity_name"])
+            order = [F.desc("evidence_count"), "other_name", "other_label", "rel_type", "direction", "confidence_lower", "confidence_upper"]
+            return edges.orderBy(*order).offset(max(0, x["page"]) * PAGE).limit(PAGE)
         if name == "search_chunks":
             return retrieve.hybrid_search(g, self.vectors, self._vector(x["query"]), x["query"], x["top_k"], x["expand_graph"])
         if name == "get_chunk_text":
@@ -107,7 +112,7 @@ RECORD = "score double, label string, lower_bound double, upper_bound double, ra
 
 
 def ask(question: str, toolbox: Toolbox, planner: Planner = offline_planner, calibrators: list | None = None, config: EngineConfig = EngineConfig()) -> tuple[str, list[str], dict, list[dict]]:
-    """``(answer, evidence chunk ids, confidence, trace)``; the tools' results are top-k lists, so the trace is small."""
+    """``(answer, evidence chunk ids, confidence, trace)``; the tools' results are top-k lists or pages, so the trace is small."""
     trace: list[dict] = []
     evidence: list[str] = []
     answer = ""
@@ -117,7 +122,7 @@ def ask(question: str, toolbox: Toolbox, planner: Planner = offline_planner, cal
             answer = step
             break
         for name, inputs in step:
-            output = [r.asDict() for r in toolbox.execute(name, inputs).limit(100).collect()]
+            output = [r.asDict() for r in toolbox.execute(name, inputs).collect()]
             trace.append({"tool": name, "input": inputs, "output": output})
             evidence += [r["chunk_id"] for r in output if "__" in str(r.get("chunk_id", "")) and r["chunk_id"] not in evidence]
     spark = toolbox.graph.chunks.sparkSession

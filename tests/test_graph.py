@@ -99,6 +99,23 @@ def test_tolerant_json_and_fallbacks(spark):
     assert (rel["source_name"], rel["relationship"], rel["evidence"]) == ("a", "ASSOCIATED_WITH", "a b")
 
 
+def test_agent_pages_through_all_relationships(spark):
+    edges = [("Gene", "hub", "BINDS", "Drug", f"d{i:03d}", 1 + i % 7, ["c"]) for i in range(130)]
+    edges += [("Drug", f"d{i:03d}", "INHIBITS", "Gene", "hub", 1 + i % 5, ["c"]) for i in range(120)]
+    box = agent.Toolbox(graph(spark, edges=edges).with_(chunks=spark.createDataFrame([], "chunk_id string, text string")), None)
+
+    def planner(question, trace):
+        if trace and len(trace[-1]["output"]) < 100:
+            return "read"
+        return [("get_entity_relationships", {"entity_type": "Gene", "entity_name": "hub", "page": len(trace)})]
+
+    trace = agent.ask("?", box, planner)[3]
+    assert [len(t["output"]) for t in trace] == [100, 100, 50]
+    rows = [r for t in trace for r in t["output"]]
+    assert len({(r["direction"], r["other_name"]) for r in rows}) == 250
+    assert rows == sorted(rows, key=lambda r: (-r["evidence_count"], r["other_name"], r["other_label"], r["rel_type"], r["direction"]))
+
+
 def test_pipeline_and_agent(spark):
     docs = spark.createDataFrame([("d", "## One\nAlpha binds beta. Alpha is old.\n## Two\nbeta and gamma.")], "paper_id string, text string")
     papers = spark.createDataFrame([("d", "T", None, None)], "paper_id string, title string, doi string, year int")
