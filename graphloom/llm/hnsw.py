@@ -12,13 +12,14 @@ import math
 import numpy as np
 
 NONE = -1
-#: Queries that walk together; visited marks take this many bytes per node.
-TOGETHER = 512
+#: Nodes that are inserted together, and queries whose walks share a frontier.
+TOGETHER, GROUP = 2048, 128
 
 
 class Graph:
     def __init__(self, vectors: np.ndarray, links: list[np.ndarray], entry: int):
         self.vectors, self.links, self.entry = vectors, links, entry
+        self.near: tuple[np.ndarray, np.ndarray] | None = None  # nodes and similarities, where asked for when built
 
     # -- search ---------------------------------------------------------------------------------------------------
 
@@ -40,47 +41,54 @@ class Graph:
                 moving = moved
         return at
 
-    def _beam(self, queries: np.ndarray, start: np.ndarray, ef: int, level: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """The ``ef`` best nodes that walks from ``start`` meet on a level, best first (-1 and -inf where fewer)."""
-        n, links = len(queries), self.links[level]
-        ids = np.full((n, ef), NONE, np.int64)
-        sims = np.full((n, ef), -np.inf, np.float32)
-        open_ = np.zeros((n, ef), bool)
-        seen = np.zeros((n, len(self.vectors)), bool)
-        ids[:, 0], open_[:, 0] = start, True
-        sims[:, 0] = np.einsum("bd,bd->b", queries, self.vectors[start])
-        seen[np.arange(n), start] = True
-        going = np.arange(n)
-        while len(going):
-            rows = np.arange(len(going))[:, None]
-            width = min(step, ef)
-            ranked = np.where(open_[going], sims[going], -np.inf)
-            take = np.argpartition(-ranked, width - 1, axis=1)[:, :width] if width < ef else np.argsort(-ranked, axis=1)
-            from_ = np.where(ranked[rows, take] > -np.inf, ids[going][rows, take], NONE)
-            open_[going[:, None], take] = False
-            near = links[from_].reshape(len(going), -1)
-            near[np.repeat(from_ == NONE, links.shape[1], axis=1)] = NONE
-            near.sort(axis=1)
-            fresh = near != NONE
-            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
-            fresh &= ~seen[going[:, None], near]
-            seen[going[:, None], np.where(fresh, near, ids[going, :1])] = True
-            width = max(1, int(fresh.sum(axis=1).max()))
-            order = np.argsort(~fresh, axis=1, kind="stable")[:, :width]
-            near, fresh = near[rows, order], fresh[rows, order]
-            value = np.matmul(self.vectors[near], queries[going][:, :, None])[:, :, 0]
-            value[~fresh] = -np.inf
-            both = np.concatenate([sims[going], value], axis=1)
-            keep = np.argpartition(-both, ef - 1, axis=1)[:, :ef]
-            sims[going] = both[rows, keep]
-            ids[going] = np.concatenate([ids[going], near], axis=1)[rows, keep]
-            open_[going] = np.concatenate([open_[going], fresh], axis=1)[rows, keep] & (sims[going] > -np.inf)
-            going = going[open_[going].any(axis=1)]
-        order = np.argsort(-sims, axis=1, kind="stable")
-        ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-        ids[sims == -np.inf] = NONE
+    def _beam(self, queries: np.ndarray, start: np.ndarray, ef: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``ef`` best nodes that walks from ``start`` meet on a level, best first (-1 and -inf where fewer).
+
+        Walks that start near each other go together: the open nodes of all their lists are expanded at once, and what
+        they link to is compared with every query of the group in one product of matrices.
+        """
+        ids = np.full((len(queries), ef), NONE, np.int32)
+        sims = np.full((len(queries), ef), -np.inf, np.float32)
+        order = np.argsort(start, kind="stable")
+        met, flag = np.zeros(len(self.vectors), bool), np.zeros(len(self.vectors), bool)
+        for at in range(0, len(order), GROUP):
+            own = order[at : at + GROUP]
+            ids[own], sims[own] = self._walk(queries[own], np.unique(start[own]), ef, self.links[level], met, flag)
         return ids, sims
 
+    def _walk(self, queries: np.ndarray, new: np.ndarray, ef: int, links: np.ndarray, met: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of one group; ``met`` and ``flag`` are clear before and after."""
+        n, vectors = len(queries), self.vectors
+        ids, sims = np.full((n, ef), NONE, np.int32), np.full((n, ef), -np.inf, np.float32)
+        seen, opened = [], []
+        while len(new):
+            met[new] = True
+            seen.append(new)
+            value = queries @ vectors[new].T
+            useful = (value > sims.min(axis=1, keepdims=True)).any(axis=0)
+            if not useful.all():
+                new, value = new[useful], value[:, useful]
+            both = np.concatenate([sims, value], axis=1)
+            keep = np.argpartition(both, both.shape[1] - ef, axis=1)[:, both.shape[1] - ef :]
+            sims = np.take_along_axis(both, keep, 1)
+            ids = np.where(keep < ef, np.take_along_axis(ids, np.minimum(keep, ef - 1), 1), np.append(new, NONE)[np.clip(keep - ef, -1, len(new))])
+            flag[ids[sims > -np.inf]] = True
+            for old in opened:
+                flag[old] = False
+            open_ = np.flatnonzero(flag)
+            flag[open_] = False
+            opened.append(open_)
+            near = links[open_].ravel()
+            near = near[near != NONE]
+            flag[near[~met[near]]] = True
+            new = np.flatnonzero(flag)
+            flag[new] = False
+        for old in seen:
+            met[old] = False
+        order = np.argsort(-sims, axis=1, kind="stable")
+        sims = np.take_along_axis(sims, order, 1)
+        return np.where(sims > -np.inf, np.take_along_axis(ids, order, 1), NONE), sims
+
     def search(self, queries: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """Nodes and similarities of about the ``k`` most similar vectors for each query, best first."""
         out = [self._beam(q, self._descend(q, 0), max(k, ef), 0) for q in (queries[i : i + TOGETHER] for i in range(0, len(queries), TOGETHER))]
@@ -91,14 +99,21 @@ class Graph:
     # -- building -------------------------------------------------------------------------------------------------
 
     @staticmethod
-    def build(vectors: np.ndarray, m: int = 12, ef: int = 40, seed: int = 7) -> Graph:
-        """Insert the vectors in batches that never outnumber the nodes already there; deterministic."""
+    def build(vectors: np.ndarray, m: int = 8, ef: int = 24, seed: int = 7, keep: int = 0) -> Graph:
+        """Insert the vectors in batches that never outnumber the nodes already there; deterministic.
+
+        Every insertion searches the graph for the new vector's neighbours. With ``keep`` what these searches find
+        counts for both ends, and the ``keep`` best of each node are left in ``near``: the graph's answer for its own
+        nodes, without searching for them again.
+        """
         n = len(vectors)
         rng = np.random.default_rng(seed)
         levels = np.minimum((-np.log(1 - rng.random(n)) / math.log(m)).astype(np.int64), 8)
         order = np.argsort(-levels, kind="stable")  # the highest first, so that the entry never changes
         top = int(levels.max(initial=0))
-        graph = Graph(vectors, [np.full((n, 2 * m if level == 0 else m), NONE, np.int64) for level in range(top + 1)], int(order[0]) if n else 0)
+        graph = Graph(vectors, [np.full((n, 2 * m if level == 0 else m), NONE, np.int32) for level in range(top + 1)], int(order[0]) if n else 0)
+        if keep:
+            graph.near = np.full((n, keep), NONE, np.int32), np.full((n, keep), -np.inf, np.float32)
         done = 1
         while done < n:
             batch = order[done : done + min(done, TOGETHER)]
@@ -119,6 +134,8 @@ class Graph:
         ids = np.concatenate([found, batch[mates]], axis=1)
         sims = np.concatenate([sims, np.take_along_axis(own, mates, 1)], axis=1)
         ids[(ids == batch[:, None]) | (sims == -np.inf)] = NONE
+        if level == 0 and self.near:
+            self._remember(batch, ids, np.where(ids == NONE, -np.inf, sims))
         chosen = self._diverse(ids, np.where(ids == NONE, -np.inf, sims), m)
         self.links[level][batch, : chosen.shape[1]] = chosen
         # the same links the other way round; a node with too many keeps a diverse choice
@@ -146,9 +163,33 @@ class Graph:
             sims[near == NONE] = -np.inf
             self.links[level][nodes[rows]] = self._diverse(near, sims, limit)
 
+    def _remember(self, batch: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> None:
+        """What the searches for a batch found, as neighbours of both ends."""
+        near_ids, near_sims = self.near
+        keep = near_ids.shape[1]
+        row, column = np.nonzero(sims > np.minimum(near_sims[:, -1][np.maximum(ids, 0)], 2))
+        source, target, value = batch[row], ids[row, column], sims[row, column]
+        best = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
+        near_ids[batch, : best.shape[1]] = np.take_along_axis(ids, best, 1)
+        near_sims[batch, : best.shape[1]] = np.take_along_axis(sims, best, 1)
+        older = ~np.isin(target, batch)  # mates are in each other's lists already
+        source, target, value = source[older], target[older], value[older]
+        by = np.lexsort((-value, target))
+        source, target, value = source[by], target[by], value[by]
+        nodes, first, count = np.unique(target, return_index=True, return_counts=True)
+        place = np.arange(len(target)) - np.repeat(first, count)
+        fits = place < keep
+        row = np.repeat(np.arange(len(nodes)), count)[fits]
+        new_ids, new_sims = np.full((len(nodes), keep), NONE, np.int32), np.full((len(nodes), keep), -np.inf, np.float32)
+        new_ids[row, place[fits]], new_sims[row, place[fits]] = source[fits], value[fits]
+        both = np.concatenate([near_sims[nodes], new_sims], axis=1)
+        best = np.argsort(-both, axis=1, kind="stable")[:, :keep]
+        near_sims[nodes] = np.take_along_axis(both, best, 1)
+        near_ids[nodes] = np.take_along_axis(np.concatenate([near_ids[nodes], new_ids], axis=1), best, 1)
+
     def _diverse(self, ids: np.ndarray, sims: np.ndarray, limit: int) -> np.ndarray:
         """For each row the best candidates that are closer to the node than to one already chosen, then the best others."""
-        width = min(ids.shape[1], 3 * limit)
+        width = min(ids.shape[1], 2 * limit)
         order = np.argsort(-sims, axis=1, kind="stable")[:, :width]
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         near = self.vectors[ids]
@@ -174,5 +215,5 @@ class Graph:
     @staticmethod
     def from_bytes(data: bytes) -> Graph:
         with np.load(io.BytesIO(data)) as x:
-            links = [x[f"links{i}"].astype(np.int64) for i in range(sum(k.startswith("links") for k in x.files))]
+            links = [x[f"links{i}"] for i in range(sum(k.startswith("links") for k in x.files))]
             return Graph(x["vectors"], links, int(x["entry"]))

@@ -1,14 +1,20 @@
 """Problem 2: the most similar vectors of every vector, with little loss.
 
-Method: one hierarchical navigable small-world graph per shard, stored as flat neighbour arrays in a table, and shard
-results merged. Shards are the cells of a coarse clustering (centroids fitted on a bounded sample; every vector is
-indexed), so a vector is only searched for in the ``probes`` nearest cells and the work grows with the vectors, not
-with their square. A cell that holds more than ``most`` vectors is cut into several shards by a hash, which are all
-searched, and the queries of a shard come in blocks, so that no task gets an unbounded group.
-
-Equal vectors: only the ``k + 1`` first keys of a vector are indexed; they are each other's answers, and those of all
-further keys of that vector, which are found by a join. A vector that a third of the keys share costs no more than
-another one.
+Method: one hierarchical navigable small-world graph per shard, in flat neighbour arrays, and shard results merged.
+Shards are the cells of a coarse clustering. A vector lies in the cell of its nearest centroid and in those whose
+centroid is at most ``margin`` less similar, so that two similar vectors meet in a shard although they lie on two sides
+of a border. The margin is no constant: the true neighbours of a few probes are found by comparing these with all
+vectors, and the margin is the least with which the wanted share of them meets; so recall holds as cells multiply.
+Every insertion into a shard's graph is a search for the new vector's neighbours, and what it finds counts for both
+ends, so vectors aren't searched for again once the graph stands. Work grows with the vectors, not with their square.
+
+Bounded on the driver: the sample that the centroids are fitted on (``SAMPLE`` vectors, or ``SAMPLE_PER_CELL`` a cell up
+to ``MOST_SAMPLE``) and the probes. Every vector is indexed. From ``MOST_SAMPLE / SAMPLE_PER_CELL * CELL`` vectors on
+(50 million) cells grow instead of multiplying; a graph's walks grow with the logarithm of its size only.
+
+Equal vectors: of one that more than ``k + 1`` rows share only the ``k + 1`` first keys are indexed; they are each
+other's answers, and those of all further keys of that vector, which are found by a join. A vector that a third of the
+keys share costs no more than another one.
 """
 
 from __future__ import annotations
@@ -23,12 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from graphloom.llm.hnsw import Graph
-from graphloom.plans.stage import staged
 
-#: Vectors a cell is meant to hold, the most a shard holds, queries a block holds, and the most cells.
-CELL, MOST, BLOCK, MOST_CELLS = 2000, 6000, 20_000, 4096
-#: Vectors the centroids are fitted on: this many, or SAMPLE_PER_CELL times the cells.
-SAMPLE, SAMPLE_PER_CELL = 20_000, 20
+#: Vectors whose home a cell is meant to be, and the most cells that one vector lies in.
+CELL, MOST_HOMES = 2000, 8
+#: Vectors the centroids are fitted on: SAMPLE, or SAMPLE_PER_CELL a cell and MOST_SAMPLE at most.
+SAMPLE, SAMPLE_PER_CELL, MOST_SAMPLE = 20_000, 8, 200_000
+#: Vectors whose true neighbours tell the margin, and the share of these that shall meet in a shard.
+PROBES, COVER = 256, 0.975
+#: Vectors that more keys share than are indexed: up to this many of them are broadcast (8 MB), more are joined.
+MOST_BROADCAST = 1_000_000
+FOUND = StructType([StructField("key", StringType()), StructField("neighbour", StringType()), StructField("cosine", DoubleType())])
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -57,8 +67,15 @@ def unit_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return wanted.select(F.col(key).cast("string").alias("key"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, schema)
 
 
-def centroids(sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
-    """Unit centroids of a spherical k-means."""
+def centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
+    """Unit centroids of a spherical k-means; many are fitted in two levels, so the work grows with cells^1.5."""
+    if cells > 512:
+        coarse = int(cells**0.5)
+        top = centroids(sample, coarse, rounds, seed)
+        home = (sample @ top.T).argmax(axis=1)
+        parts = [sample[home == c] for c in range(coarse)]
+        share = [min(len(p), max(1, round(cells * len(p) / len(sample)))) for p in parts]
+        return np.concatenate([centroids(p, n, rounds, seed) for p, n in zip(parts, share) if n])
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), cells, replace=False)]
     for _ in range(rounds):
@@ -71,127 +88,180 @@ def centroids(sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 7) -
 
 
 class Plan:
-    """Where vectors lie and are searched for: cells, their shards, and the blocks of their queries."""
-
-    def __init__(self, centres: np.ndarray, splits: np.ndarray, blocks: np.ndarray, probes: int):
-        self.centres, self.splits, self.blocks, self.probes = centres, splits, blocks, probes
-        self.first = np.concatenate([[0], np.cumsum(splits)[:-1]])
-
-    @staticmethod
-    def of(sample: np.ndarray, n: int, probes: int) -> Plan:
-        cells = int(min(MOST_CELLS, max(1, -(-n // CELL)), len(sample)))
-        centres = centroids(sample, cells)
-        probes = min(probes, cells)
-        near = np.argpartition(-(sample @ centres.T), probes - 1, axis=1)[:, :probes]
-        scale = n / len(sample)
-        homes = np.bincount((sample @ centres.T).argmax(axis=1), minlength=cells) * scale
-        asked = np.bincount(near.ravel(), minlength=cells) * scale
-        return Plan(centres, np.maximum(1, np.ceil(homes / MOST)).astype(np.int64), np.maximum(1, np.ceil(asked / BLOCK)).astype(np.int64), probes)
-
-    def cells_of(self, vectors: np.ndarray, k: int) -> np.ndarray:
-        scores = vectors @ self.centres.T
-        return scores.argmax(axis=1)[:, None] if k == 1 else np.argpartition(-scores, k - 1, axis=1)[:, :k]
-
-    def blocks_by_shard(self) -> np.ndarray:
-        return np.repeat(self.blocks, self.splits)
+    """Where vectors lie: the cells whose centroid is at most ``margin`` less similar than the nearest one."""
 
+    def __init__(self, centres: np.ndarray, margin: float = 0.0, covered: float = 1.0):
+        self.centres, self.margin, self.covered = centres, margin, covered
 
-def _routed(heads: DataFrame, plan: Plan, dim: int, home: bool) -> DataFrame:
-    """Each vector in its own shard, or in a block of queries of every shard it is searched for in."""
-    schema = StructType([StructField("shard", IntegerType()), StructField("block", IntegerType()), StructField("key", StringType()), StructField("vec", BinaryType())])
-    shared = heads.sparkSession.sparkContext.broadcast(plan)  # at most MOST_CELLS centroids
+    def behind(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest cells of each vector, and by how much they are behind the nearest one."""
+        scores = vectors @ self.centres.T
+        most = min(MOST_HOMES, scores.shape[1])
+        cells = np.argpartition(-scores, most - 1, axis=1)[:, :most]
+        near = np.take_along_axis(scores, cells, 1)
+        return cells, near.max(axis=1, keepdims=True) - near
+
+    def homes(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cells of all places in which the vectors lie."""
+        cells, behind = self.behind(vectors)
+        row, column = np.nonzero(behind <= self.margin)
+        return row, cells[row, column]
+
+    def calibrated(self, left: np.ndarray, right: np.ndarray, cover: float) -> Plan:
+        """With the least margin with which a share ``cover`` of the pairs meets in some cell."""
+        if not len(left):
+            return self
+        (a, x), (b, y) = self.behind(left), self.behind(right)
+        need = np.where(a[:, :, None] == b[:, None, :], np.maximum(x[:, :, None], y[:, None, :]), np.inf).min(axis=(1, 2))
+        margin = np.sort(need)[min(len(need) - 1, int(np.ceil(cover * len(need))) - 1)]
+        reached = need[np.isfinite(need)]
+        margin = float(margin if np.isfinite(margin) else reached.max(initial=0.0))
+        return Plan(self.centres, margin, float((need <= margin).mean()))
+
+
+def _true_neighbours(usable: DataFrame, probes: np.ndarray, keys: list[str], dim: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``k`` most similar vectors of each probe, found by comparing the probes with every vector; probes and neighbours."""
+    shared = usable.sparkSession.sparkContext.broadcast((probes, np.array(keys, object)))  # PROBES vectors
+    schema = StructType([StructField("probe", IntegerType()), StructField("key", StringType()), StructField("vec", BinaryType()), StructField("cosine", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
+        queries, own = shared.value
+        best: list[list[tuple[float, str, bytes]]] = [[] for _ in own]
+        floor = np.full(len(own), -2.0, np.float32)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            hashes = batch.column(2).to_numpy().astype(np.uint64) >> np.uint64(8)
-            cells = p.cells_of(_matrix(batch.column(1), dim), 1 if home else p.probes)
-            if home:
-                row = np.arange(batch.num_rows)
-                shard = p.first[cells[:, 0]] + (hashes % p.splits[cells[:, 0]].astype(np.uint64)).astype(np.int64)
-                block = np.zeros(len(row), np.int64)
-            else:
-                row, cell = np.repeat(np.arange(batch.num_rows), cells.shape[1]), cells.ravel()
-                copies = p.splits[cell]
-                row, cell = np.repeat(row, copies), np.repeat(cell, copies)
-                shard = p.first[cell] + np.arange(len(cell)) - np.repeat(np.cumsum(copies) - copies, copies)
-                block = (hashes[row] % p.blocks[cell].astype(np.uint64)).astype(np.int64)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(block, pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=schema.names)
-
-    return heads.select("key", "vec", F.xxhash64("key").alias("h")).mapInArrow(run, schema)
-
-
-def build_index(heads: DataFrame, plan: Plan, dim: int, m: int = 12, ef: int = 40) -> DataFrame:
-    """``(shard, keys, graph)``: a graph per shard in flat arrays."""
+            sims = queries @ _matrix(batch.column(1), dim).T
+            names, vectors = batch.column(0), batch.column(1)
+            for q in np.flatnonzero(sims.max(axis=1) > floor):
+                top = np.flatnonzero(sims[q] > floor[q])
+                top = top[np.argsort(-sims[q, top], kind="stable")[: 2 * k + 2]]
+                found = {(n, v): s for s, n, v in best[q]}
+                found |= {(names[i].as_py(), vectors[i].as_py()): float(sims[q, i]) for i in top.tolist() if names[i].as_py() != own[q]}
+                best[q] = sorted(((s, *nv) for nv, s in found.items()), reverse=True)[:k]
+                floor[q] = best[q][-1][0] if len(best[q]) == k else -2.0
+        rows = [(q, n, v, s) for q, found in enumerate(best) for s, n, v in found]
+        kinds = (pa.int32(), pa.string(), pa.binary(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=schema.names)
+
+    order = Window.partitionBy("probe").orderBy(F.desc("cosine"), "key")
+    top = usable.select("key", "vec").mapInArrow(run, schema).withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= k)
+    rows = top.select("probe", "vec").distinct().collect()  # about PROBES x k
+    pairs = np.array([r["probe"] for r in rows], np.int64)
+    return probes[pairs], np.frombuffer(b"".join(r["vec"] for r in rows), np.float32).reshape(-1, dim)
+
+
+def plan_cells(usable: DataFrame, n: int, dim: int, k: int, cover: float = COVER) -> Plan | None:
+    """Centroids and margin for ``n`` vectors ``(key, vec)``; runs two jobs. None if there are no vectors."""
+    wanted = min(MOST_SAMPLE, max(SAMPLE, SAMPLE_PER_CELL * -(-n // CELL)))
+    share = min(1.0, 1.2 * wanted / n)
+    picked = usable.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    rows = picked.orderBy(F.xxhash64("key"), "key", "vec").select("key", "vec").limit(wanted).collect()
+    if not rows:
+        return None
+    sample = np.frombuffer(b"".join(r["vec"] for r in rows), np.float32).reshape(-1, dim).copy()
+    cells = max(1, min(-(-n // CELL), len(sample) // SAMPLE_PER_CELL))
+    plan = Plan(centroids(sample, cells))
+    if cells == 1:
+        return plan
+    return plan.calibrated(*_true_neighbours(usable, sample[:PROBES], [r["key"] for r in rows[:PROBES]], dim, k), cover)
+
+
+def _routed(vectors: DataFrame, plan: Plan, dim: int) -> DataFrame:
+    """``(shard, key, vec)``: each vector in all cells that it lies in, a partition per cell."""
+    schema = StructType([StructField("shard", IntegerType()), StructField("key", StringType()), StructField("vec", BinaryType())])
+    shared = vectors.sparkSession.sparkContext.broadcast(plan)  # MOST_SAMPLE / SAMPLE_PER_CELL centroids at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                row, cell = shared.value.homes(_matrix(batch.column(1), dim))
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=schema.names)
+
+    return vectors.select("key", "vec").mapInArrow(run, schema).repartition(len(plan.centres), "shard")
+
+
+def _once(part: pa.Table, dim: int) -> tuple[np.ndarray, pa.Array]:
+    """Vectors and keys of a shard in order, rows that came several times once."""
+    part = part.select(["key", "vec"]).group_by(["key", "vec"]).aggregate([]).sort_by([("key", "ascending")]).combine_chunks()
+    return _matrix(part["vec"].combine_chunks(), dim), part["key"].combine_chunks()
+
+
+def _pairs(asked: pa.Array, keys: pa.Array, ids: np.ndarray, sims: np.ndarray, least: float) -> pa.Table:
+    row, column = np.nonzero((ids >= 0) & (sims >= least))
+    found = pa.table({"key": asked.take(pa.array(row)), "neighbour": keys.take(pa.array(ids[row, column])), "cosine": pa.array(sims[row, column].astype(np.float64))})
+    return found.filter(pc.not_equal(found["key"], found["neighbour"]))
+
+
+def build_index(vectors: DataFrame, plan: Plan, dim: int, m: int = 8, ef: int = 24) -> DataFrame:
+    """``(shard, keys, graph)``: the graph of each shard in flat arrays, to be written and searched for other vectors."""
 
     def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by("key").combine_chunks()
-        graph = Graph.build(_matrix(part["vec"].combine_chunks(), dim), m, ef)
-        return pa.table({"shard": part["shard"].slice(0, 1), "keys": pa.array([part["key"].to_pylist()], pa.list_(pa.string())), "graph": pa.array([graph.to_bytes()], pa.binary())})
-
-    return _routed(heads, plan, dim, True).groupBy("shard").applyInArrow(run, "shard int, keys array<string>, graph binary")
-
-
-def search_index(index: DataFrame, heads: DataFrame, plan: Plan, dim: int, k: int, ef: int, least: float) -> DataFrame:
-    """``(key, neighbour, cosine)``: up to ``k`` of each vector from every shard it is searched for in."""
-    spark = heads.sparkSession
-    blocks = F.array(*[F.lit(int(b)) for b in plan.blocks_by_shard()]) if len(plan.blocks_by_shard()) <= 64 else None
-    if blocks is None:
-        table = spark.createDataFrame([(i, int(b)) for i, b in enumerate(plan.blocks_by_shard())], "shard int, blocks int")
-        copies = index.join(F.broadcast(table), "shard")  # a row per shard
-    else:
-        copies = index.withColumn("blocks", F.element_at(blocks, F.col("shard") + 1))
-    copies = copies.select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "keys", "graph")
-
-    def run(queries: pa.Table, shard: pa.Table) -> pa.Table:
-        empty = pa.table({"key": pa.array([], pa.string()), "neighbour": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())})
-        if not queries.num_rows or not shard.num_rows:
-            return empty
+        values, keys = _once(part, dim)
+        graph = Graph.build(values, m, ef).to_bytes()
+        return pa.table({"shard": part["shard"].slice(0, 1), "keys": pa.array([keys.to_pylist()], pa.list_(pa.string())), "graph": pa.array([graph], pa.binary())})
+
+    return _routed(vectors, plan, dim).groupBy("shard").applyInArrow(run, "shard int, keys array<string>, graph binary")
+
+
+def search_index(index: DataFrame, queries: DataFrame, plan: Plan, dim: int, k: int, ef: int = 24, least: float = -2.0) -> DataFrame:
+    """``(key, neighbour, cosine)``: the ``k`` nearest indexed keys of each query ``(key, vec)``, merged over shards."""
+
+    def run(asked: pa.Table, shard: pa.Table) -> pa.Table:
+        if not asked.num_rows or not shard.num_rows:
+            return pa.table({"key": pa.array([], pa.string()), "neighbour": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())})
         graph, keys = Graph.from_bytes(shard["graph"][0].as_py()), shard["keys"].combine_chunks().flatten()
-        asked = queries["key"].combine_chunks()
-        ids, sims = graph.search(_matrix(queries["vec"].combine_chunks(), dim), k + 1, ef)
-        row, column = np.nonzero((ids >= 0) & (sims >= least))
-        found = pa.table({"key": asked.take(pa.array(row)), "neighbour": keys.take(pa.array(ids[row, column])), "cosine": pa.array(sims[row, column].astype(np.float64))})
-        return found.filter(pc.not_equal(found["key"], found["neighbour"]))
+        ids, sims = graph.search(_matrix(asked["vec"].combine_chunks(), dim), k + 1, ef)
+        return _pairs(asked["key"].combine_chunks(), keys, ids, sims, least)
 
+    found = _routed(queries, plan, dim).groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(run, FOUND)
+    return _best(found, k)
 
 
-    queries = _routed(heads, plan, dim, False)
-    return queries.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInArrow(run, "key string, neighbour string, cosine double")
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """Shard results merged: each neighbour of a key once, and the ``k`` best of a key; one shuffle."""
+    once = found.repartition("key").groupBy("key", "neighbour").agg(F.max("cosine").alias("cosine"))
+    nearest = Window.partitionBy("key").orderBy(F.desc("cosine"), "neighbour")
+    return once.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).drop("n")
 
 
-def neighbours(df: DataFrame, key: str = "key", vector: str = "embedding", dim: int = 64, k: int = 5, least: float = -2.0, probes: int = 5, ef: int = 32) -> DataFrame:
+def neighbours(df: DataFrame, key: str = "key", vector: str = "embedding", dim: int = 64, k: int = 5, least: float = -2.0, cover: float = COVER, m: int = 8, ef: int = 24) -> DataFrame:
     """``(key, neighbour, cosine)``: for each usable vector the ``k`` other keys with the highest cosine of at least ``least``.
 
     Vectors that are null, not ``dim`` long, all zero, or hold a null, NaN or infinity take no part, nor do null keys;
     a row that repeats counts once; of equal cosines the first keys count; other columns don't matter; an empty table
     gives no rows. ``least`` is applied before results are merged, as it can't change which of the rest are nearest.
+    Counting and the choice of cells run as jobs while the query is put together.
     """
-    spark = df.sparkSession
-    out = StructType([StructField("key", StringType()), StructField("neighbour", StringType()), StructField("cosine", DoubleType())])
-    usable = unit_vectors(df, key, vector, dim).withColumn("vh", F.xxhash64("vec"))
-    by_vector = Window.partitionBy("vh").orderBy("key")
-    heads = usable.withColumn("n", F.dense_rank().over(by_vector)).where(F.col("n") <= k + 1).dropDuplicates(["vh", "key"])
-    heads = staged(heads, "heads")
-    n = heads.count()
-    if n < 2:
-        return spark.createDataFrame([], out)
-    wanted = max(SAMPLE, SAMPLE_PER_CELL * min(MOST_CELLS, n // CELL))
-    share = min(1.0, wanted / n)
-    picked = heads.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sample = np.frombuffer(b"".join(r[0] for r in picked.orderBy(F.xxhash64("key")).select("vec").limit(wanted).collect()), np.float32).reshape(-1, dim)
-    plan = Plan.of(sample.copy(), n, probes)
-    index = staged(build_index(heads, plan, dim), "index")
-    found = search_index(index, heads, plan, dim, k, ef, least)
-    nearest = Window.partitionBy("key").orderBy(F.desc("cosine"), "neighbour")
-    best = found.dropDuplicates(["key", "neighbour"]).withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).drop("n")
-    full = heads.groupBy("vh").agg(F.max("key").alias("last"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("key")).alias("first")).where(F.col("n") == k + 1)
-    rest = usable.select("key", "vh").join(full, "vh").where(F.col("key") > F.col("last"))
-    rest = rest.select("key", F.explode(F.slice("first", 1, k)).alias("neighbour"), F.lit(1.0).alias("cosine")).distinct()
-    return best.unionByName(rest)
+    raw = df.where(F.col(key).isNotNull() & (F.size(vector) == dim)).select(F.col(key).cast("string").alias("key"), F.col(vector).alias("v"))
+    raw = raw.withColumn("vh", F.xxhash64("v"))
+    shared = raw.groupBy("vh").agg(F.count(F.lit(1)).alias("n"))
+    size = shared.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > k + 1, 1)).alias("hot")).first()
+    heads, rest = raw, None
+    if size["hot"]:
+        hot = shared.where(F.col("n") > k + 1).select("vh")
+        hot = F.broadcast(hot) if size["hot"] <= MOST_BROADCAST else hot
+        by_vector = Window.partitionBy("vh").orderBy("key")
+        first = raw.join(hot, "vh").select("key", "v", "vh").withColumn("n", F.dense_rank().over(by_vector)).where(F.col("n") <= k + 1).dropDuplicates(["vh", "key"]).drop("n")
+        heads = raw.join(hot, "vh", "left_anti").select("key", "v", "vh").unionByName(first)
+        full = first.groupBy("vh").agg(F.max("key").alias("last"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("key")).alias("first"), F.first("v").alias("v")).where(F.col("n") == k + 1)  # k + 1 keys
+        fit = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
+        full = full.where(fit).select("vh", "last", "first")
+        rest = raw.select("key", "vh").join(F.broadcast(full) if size["hot"] <= MOST_BROADCAST // 100 else full, "vh").where(F.col("key") > F.col("last"))
+        rest = rest.select("key", F.explode(F.slice("first", 1, k)).alias("neighbour"), F.lit(1.0).alias("cosine")).distinct()
+    usable = unit_vectors(heads, "key", "v", dim)
+    plan = plan_cells(usable, size["n"], dim, k, cover) if size["n"] else None
+    if plan is None:
+        return df.sparkSession.createDataFrame([], FOUND)
+
+    def run(part: pa.Table) -> pa.Table:
+        values, keys = _once(part, dim)
+        graph = Graph.build(values, m, ef, keep=k + 1)
+        return _pairs(keys, keys, *graph.near, least)
+
+    best = _best(_routed(usable, plan, dim).groupBy("shard").applyInArrow(run, FOUND), k)
+    return best if rest is None else best.unionByName(rest)
 
 
 def similar_pairs(nearest: DataFrame) -> DataFrame:

@@ -21,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from graphloom.llm import shingles
-from graphloom.plans.stage import staged
+from graphloom.plans.stage import drop_staged, only_kept, staged
 
 WORDS_OF_SKETCH = 8
 BITS_OF_SKETCH = 64 * WORDS_OF_SKETCH
@@ -139,16 +139,26 @@ def _pairs_of_blocks(members: DataFrame, most: int | None) -> DataFrame:
     return members.groupBy("band", "lo", "hi").applyInArrow(run_, "a long, b long")
 
 
-def candidates(classes: DataFrame, crowd: int = 48, block: int = BLOCK, most: int | None = None) -> DataFrame:
-    """Distinct pairs ``a < b`` of classes that share a band.
+def shared_bands(classes: DataFrame) -> DataFrame:
+    """``(same, band, n)`` of the bands that ``n`` > 1 classes share.
 
-    With ``most`` the classes have a ``sketch``, and pairs from crowded bands may differ in at most that many bits.
+    Counted as a partial aggregate, so no task meets all members of a hot band; the members join the counts afterwards,
+    without a shuffle while the shared bands are few enough to be broadcast.
     """
     by_band = classes.select("same", F.explode("bands").alias("band"))
-    counted = by_band.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1")
-    counted = staged(counted, "bands")
+    counts = staged(by_band.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    few = counts.count() <= MOST_BROADCAST
+    return staged(by_band.join(F.broadcast(counts) if few else counts, "band").select("same", "band", "n"), "bands")
+
+
+def candidates(classes: DataFrame, crowd: int = 48, block: int = BLOCK, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a < b`` of classes that share a band: those of small bands, distinct, and those of crowded ones.
+
+    With ``most`` the classes have a ``sketch``, and pairs from crowded bands differ in at most that many bits.
+    """
+    counted = shared_bands(classes)
     lists = counted.where(F.col("n") <= crowd).groupBy("band").agg(F.array_sort(F.collect_set("same")).alias("ids"))  # at most crowd
-    few = _pairs_of_lists(lists, "ids")
+    few = _pairs_of_lists(lists, "ids").distinct()
     crowded = counted.where(F.col("n") > crowd)
     ids = crowded.select("same").distinct()
     held = classes.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "same", "left_semi")
@@ -156,8 +166,7 @@ def candidates(classes: DataFrame, crowd: int = 48, block: int = BLOCK, most: in
     salted = crowded.withColumn("block", F.pmod(F.xxhash64("band", "same"), blocks)).withColumn("__other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = salted.select("band", F.least("block", "__other").alias("lo"), F.greatest("block", "__other").alias("hi"), "block", "same")
     wide = ["bands"] if most is None else ["bands", "sketch"]
-    many = _pairs_of_blocks(placed.join(held.select("same", *wide), "same"), most)
-    return few.unionByName(many).distinct()
+    return few, _pairs_of_blocks(placed.join(held.select("same", *wide), "same"), most)
 
 
 def _run_sets(df: DataFrame, run: int) -> DataFrame:
@@ -185,33 +194,35 @@ def near_duplicates(df: DataFrame, key: str = "chunk_id", text: str = "text", th
     surely; ``slack`` is 4.2 standard deviations (0.042) of the estimate there, which loses 0.0001, and what passes is
     exact.
     """
-    sketches = staged(sketch(df, key, text, run, bands, rows), "sketches")
-    members = sketches.groupBy(F.col(key)).agg(F.min("same").alias("same"))
-    heads = sketches.groupBy("same").agg(F.min(key).alias("__head"), F.min_by("bands", key).alias("bands"), F.min_by("sketch", key).alias("sketch"))
-    classes = staged(heads, "classes")
-    found = candidates(classes.select("same", "bands", "sketch"), most=_most_differing(threshold - slack, bands * rows))
-    bits = classes.select("same", "sketch")
-    near = (
-        found.join(bits.select(F.col("same").alias("a"), F.col("sketch").alias("__x")), "a")
-        .join(bits.select(F.col("same").alias("b"), F.col("sketch").alias("__y")), "b")
-        .where(estimated(F.col("__x"), F.col("__y"), bands * rows) >= threshold - slack)
-        .select("a", "b")
-    )
-    near = staged(near, "near")
-    ids = near.select(F.explode(F.array("a", "b")).alias("same")).distinct()
-    wanted = staged(classes.select("same", F.col("__head").alias(key)).join(ids, "same"), "wanted")
-    few = wanted.count() <= MOST_BROADCAST
-    texts = df.select(key, F.col(text).alias("__text")).where(F.col("__text").isNotNull())
-    texts = texts.join(F.broadcast(wanted) if few else wanted, key).select("same", "__text")
-    sets = staged(_run_sets(texts, run).dropDuplicates(["same"]), "runs")
-    common = F.size(F.array_intersect("__x", "__y"))
-    links = (
-        near.join(sets.select(F.col("same").alias("a"), F.col("runs").alias("__x")), "a")
-        .join(sets.select(F.col("same").alias("b"), F.col("runs").alias("__y")), "b")
-        .select("a", "b", (common / (F.size("__x") + F.size("__y") - common)).alias("similarity"))
-        .where(F.col("similarity") >= threshold)
-    )
-    return staged(members, "members"), staged(links, "links")
+    with only_kept(df.sparkSession) as kept:
+        sketches = staged(sketch(df, key, text, run, bands, rows), "sketches")
+        members = sketches.groupBy(F.col(key)).agg(F.min("same").alias("same"))
+        heads = sketches.groupBy("same").agg(F.min(key).alias("__head"), F.min_by("bands", key).alias("bands"), F.min_by("sketch", key).alias("sketch"))
+        classes = staged(heads, "classes")
+        few, many = candidates(classes.select("same", "bands", "sketch"), most=_most_differing(threshold - slack, bands * rows))
+        bits = classes.select("same", "sketch")
+        near = (
+            few.join(bits.select(F.col("same").alias("a"), F.col("sketch").alias("__x")), "a")
+            .join(bits.select(F.col("same").alias("b"), F.col("sketch").alias("__y")), "b")
+            .where(estimated(F.col("__x"), F.col("__y"), bands * rows) >= threshold - slack)
+            .select("a", "b")
+        )
+        near = staged(near.unionByName(many).distinct(), "near")
+        ids = near.select(F.explode(F.array("a", "b")).alias("same")).distinct()
+        wanted = staged(classes.select("same", F.col("__head").alias(key)).join(ids, "same"), "wanted")
+        few_ids = wanted.count() <= MOST_BROADCAST
+        texts = df.select(key, F.col(text).alias("__text")).where(F.col("__text").isNotNull())
+        texts = texts.join(F.broadcast(wanted) if few_ids else wanted, key).select("same", "__text")
+        sets = staged(_run_sets(texts, run).dropDuplicates(["same"]), "runs")
+        common = F.size(F.array_intersect("__x", "__y"))
+        links = (
+            near.join(sets.select(F.col("same").alias("a"), F.col("runs").alias("__x")), "a")
+            .join(sets.select(F.col("same").alias("b"), F.col("runs").alias("__y")), "b")
+            .select("a", "b", (common / (F.size("__x") + F.size("__y") - common)).alias("similarity"))
+            .where(F.col("similarity") >= threshold)
+        )
+        kept += [staged(members, "members"), staged(links, "links")]
+    return kept[0], kept[1]
 
 
 def pairs(members: DataFrame, links: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -223,14 +234,14 @@ def pairs(members: DataFrame, links: DataFrame, key: str = "chunk_id") -> DataFr
     return within.unionByName(across).select(F.col("x").alias(f"{key}_a"), F.col("y").alias(f"{key}_b"))
 
 
-def components(links: DataFrame, rounds: int = 30) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``(id, root)`` of every id in the links ``(a, b)``: the least id of its connected component.
 
-    Large and small stars in turn: every round links neighbours to the least one they know, so the longest path
-    shrinks geometrically; each round is written out, and no group is ever collected.
+    Large and small stars in turn until nothing changes: every round links neighbours to the least one they know, so
+    the longest path shrinks geometrically; each round is written out, and no group is ever collected.
     """
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -238,6 +249,7 @@ def components(links: DataFrame, rounds: int = 30) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after = staged(small, "edges")
         same = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
+        drop_staged(edges)
         edges = after
         if same:
             break

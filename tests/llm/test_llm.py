@@ -86,9 +86,10 @@ def test_values_to_names(spark, most_forms):
 def test_graph_recall_and_storage():
     v = np.random.default_rng(1).normal(size=(1500, 16)).astype(np.float32)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    g = Graph.build(v)
+    g = Graph.build(v, keep=5)
     ids, _ = Graph.from_bytes(g.to_bytes()).search(v, 6, 40)
     true = np.argsort(-(v @ v.T), axis=1)[:, :6]
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(g.near[0], true[:, 1:])]) >= 0.95
     assert np.mean([len(set(a) & set(b)) / 6 for a, b in zip(ids, true)]) >= 0.95
     for n in (1, 2, 3):
         assert Graph.build(v[:n]).search(v[:n], 5, 8)[0].shape[0] == n
@@ -96,7 +97,6 @@ def test_graph_recall_and_storage():
 
 def test_neighbours(spark, monkeypatch):
     monkeypatch.setattr(knn, "CELL", 60)
-    monkeypatch.setattr(knn, "MOST", 50)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(30, 8))
     vectors = {f"k{i:04d}": (base[i % 30] + 0.3 * rng.normal(size=8)).tolist() for i in range(400)}
@@ -120,6 +120,22 @@ def test_neighbours(spark, monkeypatch):
     assert knn.neighbours(df.limit(0), dim=8).count() == 0 == knn.neighbours(df.where("key = 'k0001'"), dim=8).count()
 
 
+def test_index_serves_other_vectors(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL", 200)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 16))
+    rows = [(f"k{i:04d}", (base[i % 40] + 0.5 * rng.normal(size=16)).tolist()) for i in range(1500)]
+    usable = knn.unit_vectors(spark.createDataFrame(rows, "key string, embedding array<double>"), "key", "embedding", 16).cache()
+    plan = knn.plan_cells(usable, 1500, 16, 5)
+    assert len(plan.centres) > 4 and plan.covered >= knn.COVER
+    asked = usable.where("key LIKE '%00'").withColumn("key", F.concat(F.lit("q"), "key"))
+    got = {(r["key"], r["neighbour"]) for r in knn.search_index(knn.build_index(usable, plan, 16), asked, plan, 16, 5).collect()}
+    v = np.array([x for _, x in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    true = {(f"qk{i:04d}", f"k{j:04d}") for i in range(0, 1500, 100) for j in np.argsort(-(v @ v[i]))[:5]}
+    assert len(got) == len(true) and len(got & true) / len(true) >= 0.9
+
+
 def test_recall_on_test_vectors(spark, data):
     got = {(r["key"], r["neighbour"]) for r in catalog.queries()["p2_neighbours"](spark, data).collect()}
     v = {r["key"]: np.array(r["embedding"]) for r in spark.read.parquet(f"{data}/vectors.parquet").collect() if r["embedding"] and len(r["embedding"]) == 64}
@@ -189,7 +205,8 @@ def test_crowded_bands_lose_nothing(spark):
     rows = [(f"d{i:03d}", edited(rng, words, 2)) for i in range(40)]
     members, links = near_duplicates.near_duplicates(spark.createDataFrame(rows, "chunk_id string, text string"))
     sketches = near_duplicates.sketch(spark.createDataFrame(rows, "chunk_id string, text string"), "chunk_id", "text").select("same", "bands")
-    tight = {tuple(r) for r in near_duplicates.candidates(sketches, crowd=5).collect()}
+    few, many = near_duplicates.candidates(sketches, crowd=5)
+    tight = {tuple(r) for r in few.union(many).collect()}
     assert {(r["a"], r["b"]) for r in links.collect()} <= {tuple(sorted(p)) for p in tight}
 
 
@@ -199,7 +216,7 @@ def test_crowded_family_at_the_threshold(spark):
     words = [f"w{i}" for i in range(240)]
     texts = {f"d{i:03d}": edited(rng, words, rng.choice((6, 7))) for i in range(150)}
     df = spark.createDataFrame(list(texts.items()), "chunk_id string, text string")
-    classes = near_duplicates.sketch(df, "chunk_id", "text").drop("chunk_id").distinct().localCheckpoint()
+    classes = near_duplicates.sketch(df, "chunk_id", "text").drop("chunk_id").distinct().cache()
     bands = {r["same"]: r["bands"] for r in classes.collect()}
     common = {(a, b): sum(x == y for x, y in zip(bands[a], bands[b])) for a in bands for b in bands if a < b}
     sharing = {p for p, n in common.items() if n}
@@ -211,8 +228,9 @@ def test_crowded_family_at_the_threshold(spark):
     estimate = near_duplicates.estimated(F.col("x.sketch"), F.col("y.sketch"), 160)
     passing = {tuple(r) for r in classes.alias("x").join(classes.alias("y"), F.col("x.same") < F.col("y.same")).where(estimate >= 0.7 - 0.14).select("x.same", "y.same").collect()}
     assert any(common[p] == 1 for p in near & passing) and near & sharing & passing <= linked
-    assert {tuple(r) for r in near_duplicates.candidates(classes, crowd=5, block=20).collect()} == sharing
-    assert {tuple(r) for r in near_duplicates.candidates(classes, crowd=1000).collect()} == sharing
+    for crowd, block in ((5, 20), (1000, near_duplicates.BLOCK)):
+        few, many = near_duplicates.candidates(classes, crowd=crowd, block=block)
+        assert {tuple(r) for r in few.union(many).collect()} == sharing
 
 
 
@@ -229,6 +247,12 @@ def test_sketch_loses_one_pair_in_ten_thousand_at_the_threshold():
     assert lost <= 2e-4 * rounds * n
 
 
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
+    roots = {r["id"]: r["root"] for r in near_duplicates.components(links).collect()}
+    assert roots == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+
+
 # -- 5 -----------------------------------------------------------------------------------------------------------------
 
 
