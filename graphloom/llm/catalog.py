@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import canonical, knn, language, mixing, near_duplicates, scanned, split, tokenize
+from graphloom.plans.stage import staged
 from graphloom.sources.tables import first_delivery, table
 
 
@@ -73,28 +74,29 @@ def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, directory, "documents"))
 
 
-#: The tree above the sources of the mixture: domain and language.
-SOURCE_TREE = {
-    "open_journals": ("literature", "many"),
-    "preprint_feed": ("literature", "many"),
-    "review_archive": ("literature", "en"),
-    "congress_abstracts": ("literature", "en"),
-    "thesis_store": ("literature", "en"),
-    "trial_registry": ("clinical", "many"),
-    "case_reports": ("clinical", "en"),
-    "patient_leaflets": ("clinical", "many"),
-    "regional_bulletins": ("clinical", "many"),
-    "patent_digest": ("technical", "en"),
-    "lab_protocols": ("technical", "en"),
-    "methods_wiki": ("technical", "en"),
-    "consortium_memos": ("technical", "en"),
+#: The domains of this project's sources, as a table of its own; a source that it doesn't hold is a domain by itself.
+DOMAINS = {
+    "literature": ("open_journals", "preprint_feed", "review_archive", "congress_abstracts", "thesis_store"),
+    "clinical": ("trial_registry", "case_reports", "patient_leaflets", "regional_bulletins"),
+    "technical": ("patent_digest", "lab_protocols", "methods_wiki", "consortium_memos"),
 }
 
 
+def source_tree(documents: DataFrame, targets: DataFrame, domains: DataFrame) -> DataFrame:
+    """The targets with their ``domain`` and with the ``language`` that nine tenths of their labelled documents name, else ``many``."""
+    labelled = documents.select("source", F.explode(language.declared_codes(F.col("lang"))).alias("code")).where("source IS NOT NULL")
+    counts = labelled.groupBy("source", "code").agg(F.count(F.lit(1)).alias("n"))  # sources x languages
+    spoken = counts.groupBy("source").agg(F.max(F.struct("n", "code")).alias("top"), F.sum("n").alias("all"))
+    spoken = spoken.select("source", F.when(F.col("top.n") >= 0.9 * F.col("all"), F.col("top.code")).otherwise(F.lit("many")).alias("language"))
+    placed = targets.join(domains.dropDuplicates(["source"]), "source", "left").withColumn("domain", F.coalesce("domain", "source"))
+    return placed.join(spoken, "source", "left").withColumn("language", F.coalesce("language", F.lit("many")))
+
+
 def _mixed(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    places = spark.createDataFrame([(s, d, l) for s, (d, l) in SOURCE_TREE.items()], "source string, domain string, language string")
-    targets = table(spark, directory, "mix_targets").join(F.broadcast(places), "source", "left")
-    return mixing.mix(table(spark, directory, "documents"), targets, levels=("domain", "language", "source"))
+    documents = table(spark, directory, "documents")
+    domains = spark.createDataFrame([(s, d) for d, sources in DOMAINS.items() for s in sources], "source string, domain string")
+    targets = source_tree(documents, table(spark, directory, "mix_targets"), domains)
+    return mixing.mix(documents, targets, levels=("domain", "language", "source"))
 
 
 def p8_mix(spark: SparkSession, directory: str) -> DataFrame:
@@ -114,12 +116,48 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     return language.undeclared(p9_languages(spark, directory))
 
 
+def p5_checks(spark: SparkSession, directory: str) -> DataFrame:
+    """Per oversized chunk what holds of its pieces: words of the text, covered words, the least and most words shared, the longest piece."""
+    pieces = staged(p5_pieces(spark, directory).select("chunk_id", "piece_index", "n_pieces", "n_words", "char_offset", F.length("text").alias("chars")), "pieces")
+    after = pieces.select("chunk_id", (F.col("piece_index") - 1).alias("piece_index"), F.col("char_offset").alias("next"))
+    joined = pieces.join(after, ["chunk_id", "piece_index"], "left")
+    grouped = joined.groupBy("chunk_id").agg(
+        (F.sum("n_words") - 150 * (F.count(F.lit(1)) - 1)).alias("covered_words"),
+        (F.max("n_words") <= 600).alias("all_within_limit"),
+        (F.max("n_pieces") == F.count(F.lit(1))).alias("all_numbered"),
+        F.min(F.coalesce(F.col("next") < F.col("char_offset") + F.col("chars"), F.lit(True))).alias("all_overlap"),
+    )
+    return grouped
+
+
+def p8_checks(spark: SparkSession, directory: str) -> DataFrame:
+    """Per target the tokens' bounds that the mixture must keep, as true statements, and whether its documents fit its cap."""
+    mixture, report = _mixed(spark, directory)
+    most = mixture.groupBy("source").agg(F.max("copies").alias("most"), F.count(F.lit(1)).alias("n"))
+    rows = report.where("target_share > 0").join(most, "source", "left")
+    return rows.select(
+        "source",
+        "documents",
+        (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"),
+        (F.abs(F.col("chosen_tokens") - F.col("budget")) <= 4096).alias("near_budget"),
+        (F.coalesce("n", F.lit(0)) <= F.col("documents")).alias("once_each"),
+    )
+
+
 def queries():
-    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_texts": p6_texts, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_languages": p9_languages}
+    return {"p5_checks": p5_checks, "p8_checks": p8_checks, "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_texts": p6_texts, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_languages": p9_languages}
 
 
 def oracle_sql():
+    words = r"len(regexp_extract_all(text, '[^\s\p{Z}\x0b\x1c-\x1f\x85]+'))"
     return {
+        "p5_checks": f"""
+            SELECT chunk_id, max({words}) AS covered_words, true AS all_within_limit, true AS all_numbered, true AS all_overlap
+            FROM chunks WHERE chunk_id IS NOT NULL AND {words} > 1200 GROUP BY 1""",
+        "p8_checks": """
+            SELECT t.source, count(d.doc_id) AS documents, true AS within_cap, true AS near_budget, true AS once_each
+            FROM mix_targets t LEFT JOIN (SELECT * FROM documents WHERE text <> '') d ON d.source = t.source
+            WHERE t.source IS NOT NULL AND t.target_share > 0 GROUP BY 1""",
         "p5_found": r"""
             SELECT DISTINCT chunk_id FROM chunks
             WHERE len(regexp_extract_all(text, '[^\s\p{Z}\x0b\x1c-\x1f\x85]+')) > 1200 AND chunk_id IS NOT NULL""",

@@ -35,7 +35,7 @@ CELL, MOST_HOMES = 2000, 8
 #: Vectors the centroids are fitted on: SAMPLE, or SAMPLE_PER_CELL a cell and MOST_SAMPLE at most.
 SAMPLE, SAMPLE_PER_CELL, MOST_SAMPLE = 20_000, 8, 200_000
 #: Vectors whose true neighbours tell the margin, and the share of these that shall meet in a shard.
-PROBES, COVER = 256, 0.975
+PROBES, COVER = 256, 0.98
 #: Vectors that more keys share than are indexed: up to this many of them are broadcast (8 MB), more are joined.
 MOST_BROADCAST = 1_000_000
 FOUND = StructType([StructField("key", StringType()), StructField("neighbour", StringType()), StructField("cosine", DoubleType())])
@@ -226,7 +226,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).drop("n")
 
 
-def neighbours(df: DataFrame, key: str = "key", vector: str = "embedding", dim: int = 64, k: int = 5, least: float = -2.0, cover: float = COVER, m: int = 8, ef: int = 24) -> DataFrame:
+def neighbours(df: DataFrame, key: str = "key", vector: str = "embedding", dim: int = 64, k: int = 5, least: float = -2.0, cover: float = COVER, m: int = 8, ef: int = 40) -> DataFrame:
     """``(key, neighbour, cosine)``: for each usable vector the ``k`` other keys with the highest cosine of at least ``least``.
 
     Vectors that are null, not ``dim`` long, all zero, or hold a null, NaN or infinity take no part, nor do null keys;

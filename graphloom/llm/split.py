@@ -25,11 +25,21 @@ PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
 SENTENCE = re.compile(r"[.!?。！？…][\"'”’»)\]]*$")
 
 
+# fixed values: abbreviations that a text goes on after
+ABBREVIATIONS = frozenset("al approx ca cf dr eg eq eqs etc fig figs ie inc incl mr mrs ms no nos p pp prof ref refs resp sp spp st subsp suppl var viz vol vs".split())
+
+
+def _abbreviated(word: str) -> bool:
+    """Whether the full stop belongs to the word: a known abbreviation, or the initial of a name or a genus."""
+    bare = word.rstrip("\"'”’»)]").lstrip("\"'“‘«([")
+    return bare.endswith(".") and (bare.replace(".", "").lower() in ABBREVIATIONS or (len(bare) == 2 and bare[0].isupper()))
+
+
 def boundary_strength(word: str, gap: str) -> int:
     """How natural a cut is after ``word`` when ``gap`` follows: paragraph 3, sentence 2, line 1, else 0."""
     if PARAGRAPH.search(gap):
         return 3
-    if SENTENCE.search(word) or word[-1:] in "。！？":
+    if (SENTENCE.search(word) and not _abbreviated(word)) or word[-1:] in "。！？":
         return 2
     return 1 if "\n" in gap else 0
 

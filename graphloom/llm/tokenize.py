@@ -6,7 +6,7 @@ ends at ``i`` and may stand after the last token of the prefix before it; two to
 when the merges would not have cut the boundary between them in another order. Following the stored last tokens back
 from the end gives the encoding, in time linear in the bytes, however long a piece is. As the table of an unfinished
 text stays valid when bytes are added, appends are exact and cheap (:class:`PrefixTable`), and an edit only needs the
-pieces around it encoded again (:func:`reencode`).
+pieces around it encoded again (:class:`EncodedText`).
 
 The vocabulary file is a parameter (a rank file: one ``base64 rank`` pair a line); it is read on each executor.
 """
@@ -19,7 +19,7 @@ import os
 import re
 import sys
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import chain
 
@@ -36,6 +36,10 @@ LONGEST_REMEMBERED = 40
 MOST_REMEMBERED = 300_000
 
 
+# fixed values: the White_Space property
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def default_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
     """Path of a public vocabulary file: in GRAPHLOOM_TOKENIZERS, /opt/tokenizers, or the installed package."""
     spec = importlib.util.find_spec("public_tokenizers")
@@ -63,7 +67,7 @@ def piece_pattern() -> re.Pattern:
     Letters and numbers stand first: no other alternative can match where they do, and most pieces are words.
     """
     letter, number = _char_classes()
-    space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # fixed values: the White_Space property
+    space = SPACE
     return re.compile(
         f" ?[{letter}]+| ?[{number}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
     )
@@ -196,6 +200,7 @@ class Encoder:
         self.pieces = _Remembered(self._piece)
         self.words = _Remembered(lambda word: self.split_ids(" " + word))
         self.double = re.compile(r"\s ").search
+        self.safe = re.compile(f"[^{SPACE}] (?=[^{SPACE}])").search
 
     def _piece(self, piece: str) -> list[int]:
         data = piece.encode("utf-8", "surrogatepass")
@@ -221,30 +226,49 @@ class Encoder:
         return len(self.encode(text))
 
 
-def reencode(encoder: Encoder, old: str, ids: list[int], start: int, end: int, new: str) -> tuple[str, list[int]]:
-    """The text with ``old[start:end]`` replaced by ``new``, and its ids, from the ids of the old text.
+class EncodedText:
+    """A text with its ids, kept true under edits: an edit encodes what lies between the two nearest marks again.
 
-    Only the pieces near the edit are encoded again: the split before the edit is kept up to the last piece that ends
-    at least one piece before it, and the split behind it is kept from the first place where both splits meet again.
+    Marks are places where a piece begins whatever stands before or behind: spaces after a character that is no white
+    space, one in about ``STRIDE`` characters. An edit can't move a mark whose two characters it doesn't touch, so the ids
+    before the last mark in front of it and behind the first mark after it stay; their places are kept with the marks.
     """
-    text = old[:start] + new + old[end:]
-    before, at = [], 0
-    for piece in encoder.find(old):
-        before.append((at, piece))
-        at += len(piece)
-    starts = [a for a, _ in before]
-    keep = max(0, bisect_right(starts, start) - 3)
-    first = starts[keep] if starts else 0
-    head = [i for _, p in before[:keep] for i in encoder.pieces[p]]
-    shift, tails = len(new) - (end - start), {a: k for k, a in enumerate(starts) if a >= end}
-    at, middle = first, []
-    for m in encoder.pattern.finditer(text[first:]):
-        at = first + m.start()
-        if at - shift in tails and at >= start + len(new) + 1:
-            rest = sum(len(encoder.pieces[p]) for _, p in before[tails[at - shift] :])
-            return text, head + middle + (ids[len(ids) - rest :] if rest else [])
-        middle += encoder.pieces[m.group()]
-    return text, head + middle
+
+    STRIDE = 256
+
+    def __init__(self, encoder: Encoder, text: str = ""):
+        self.encoder, self.text, self.ids = encoder, text, []
+        self.marks, self.places = [0], [0]  # in characters, and in ids
+        self._encode(text, self.marks, self.places, self.ids)
+
+    def _encode(self, text: str, marks: list[int], places: list[int], ids: list[int]) -> None:
+        """Append the ids of ``text``, and marks in it, to lists that end with a mark where it begins."""
+        start, base, at = 0, marks[-1], places[-1]
+        find = self.encoder.safe
+        while (m := find(text, start + self.STRIDE)) is not None:
+            cut = m.start() + 1
+            part = self.encoder.encode(text[start:cut])
+            ids += part
+            at += len(part)
+            marks.append(base + cut)
+            places.append(at)
+            start = cut
+        ids += self.encoder.encode(text[start:])
+
+    def edit(self, start: int, end: int, new: str) -> EncodedText:
+        """Replace ``text[start:end]`` by ``new``."""
+        k = max(0, bisect_left(self.marks, start) - 1)
+        j = bisect_right(self.marks, end)
+        left, right = self.marks[k], self.marks[j] if j < len(self.marks) else len(self.text)
+        behind = self.places[j] if j < len(self.marks) else len(self.ids)
+        marks, places, ids = [0], [0], []
+        self._encode(self.text[left:start] + new + self.text[end:right], marks, places, ids)
+        shift, moved = len(new) - (end - start), self.places[k] + len(ids) - behind
+        self.text = self.text[:start] + new + self.text[end:]
+        self.ids[self.places[k] : behind] = ids
+        self.marks = self.marks[:k] + [left + m for m in marks] + [m + shift for m in self.marks[j:]]
+        self.places = self.places[:k] + [self.places[k] + p for p in places] + [p + moved for p in self.places[j:]]
+        return self
 
 
 _encoders: dict[str, Encoder] = {}
