@@ -62,8 +62,7 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
 def p6_texts(spark: SparkSession, directory: str) -> DataFrame:
     """The repaired text of each scanned chunk, with its defects."""
     chunks = table(spark, directory, "chunks").select("chunk_id", "text", F.coalesce("paper_id", F.regexp_replace("chunk_id", "__[^_]*$", "")).alias("paper_id"))
-    names = scanned.name_words(table(spark, directory, "entities"))
-    return scanned.repair_scans(chunks, table(spark, directory, "papers"), names)
+    return scanned.repair_scans(chunks, table(spark, directory, "papers"), table(spark, directory, "entities"))
 
 
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,18 +24,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-#: Two-letter code, three-letter codes (terminological, bibliographic) and English name of each language.
+# fixed values: two-letter code, three-letter codes (terminological, bibliographic) and English name of languages that a
+# label may name; those that a model knows come from the labels of its table
 LANGUAGES = {
+    "ar": ("ara", "ara", "arabic"),
+    "bg": ("bul", "bul", "bulgarian"),
+    "ca": ("cat", "cat", "catalan"),
+    "cs": ("ces", "cze", "czech"),
+    "da": ("dan", "dan", "danish"),
     "de": ("deu", "ger", "german"),
+    "el": ("ell", "gre", "greek"),
     "en": ("eng", "eng", "english"),
     "es": ("spa", "spa", "spanish"),
+    "et": ("est", "est", "estonian"),
+    "fa": ("fas", "per", "persian"),
+    "fi": ("fin", "fin", "finnish"),
     "fr": ("fra", "fre", "french"),
+    "he": ("heb", "heb", "hebrew"),
+    "hi": ("hin", "hin", "hindi"),
+    "hr": ("hrv", "hrv", "croatian"),
+    "hu": ("hun", "hun", "hungarian"),
+    "id": ("ind", "ind", "indonesian"),
     "it": ("ita", "ita", "italian"),
+    "ja": ("jpn", "jpn", "japanese"),
+    "ko": ("kor", "kor", "korean"),
+    "lt": ("lit", "lit", "lithuanian"),
+    "lv": ("lav", "lav", "latvian"),
     "nl": ("nld", "dut", "dutch"),
+    "no": ("nor", "nor", "norwegian"),
+    "pl": ("pol", "pol", "polish"),
     "pt": ("por", "por", "portuguese"),
+    "ro": ("ron", "rum", "romanian"),
     "ru": ("rus", "rus", "russian"),
+    "sk": ("slk", "slo", "slovak"),
+    "sl": ("slv", "slv", "slovenian"),
+    "sv": ("swe", "swe", "swedish"),
+    "th": ("tha", "tha", "thai"),
+    "tr": ("tur", "tur", "turkish"),
+    "uk": ("ukr", "ukr", "ukrainian"),
+    "vi": ("vie", "vie", "vietnamese"),
     "zh": ("zho", "chi", "chinese"),
 }
+#: A language is one of the model's when at least this share of the labelled documents of the sample bears its label.
+LEAST_SHARE = 0.005
 ORDERS, BITS, SMOOTHING = (2, 3), 16, 0.5
 #: Share of the n-grams of all languages in each language's estimate: names occur in texts of every language.
 SHARED = 0.5
@@ -42,8 +74,12 @@ SHARED = 0.5
 LEAST_LETTERS, HAN_WEIGHT = 16, 4
 #: Longest mean word, in letters, of a text with spaces; more is no language (sequences, encodings).
 LONGEST_WORD = 25
-#: Nats a letter by which a sentence must be likelier in its language than as random n-grams.
-LEAST_FIT = 4.0
+#: How far a sentence may lie below its language's usual likelihood a letter, in differences times the root of the letters
+#: as they are for sentences of the language that the model wasn't fitted on: BEYOND times as far below their median as
+#: all but a share ODD of them are. (Quantiles, as some texts that bear a language's label are in none.)
+BEYOND, ODD, LEAST_KNOWN, COMMON_LIMIT = 2.3, 0.05, 100, -15.0
+#: Neighbouring n-grams share their letters; so many of them hold a letter, and evidence counts as much less.
+OVERLAP = float(sum(ORDERS))
 #: Nats a stretch must be likelier in its language than in that of the text around it to be taken for another one.
 SWITCH = 12.0
 #: Nats a letter by which a sentence of the sample must be likelier in another language to lose its document's label.
@@ -128,6 +164,8 @@ def grams(codes: np.ndarray) -> list[np.ndarray]:
 class Model:
     codes: list[str]
     packed: np.ndarray  # order, group of three languages, hash: the weights of three languages side by side
+    usual: np.ndarray | None = None  # mean nats a letter of each language's own sentences
+    limit: np.ndarray | None = None  # the least that a sentence may differ from it, times the root of its letters
 
     @staticmethod
     def of(codes: list[str], weights: np.ndarray) -> Model:
@@ -136,6 +174,19 @@ class Model:
         groups = [sum(q[:, i + k] << (21 * k) for k in range(3) if i + k < len(codes)) for i in range(0, len(codes), 3)]
         return Model(codes, np.stack(groups, axis=1))
 
+    def spoken(self, score: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Whether the sentences of a text are long enough to be judged and as likely as sentences of their likeliest language are.
+
+        Where half of the text is in no known language, the rest must be within half of the limit.
+        """
+        best = score.argmax(axis=1)
+        n = np.maximum(letters, 1)
+        long, off = letters >= LEAST_LETTERS, (score.max(axis=1) / n - self.usual[best]) * np.sqrt(n)
+        fit = long & (off >= self.limit[best])
+        if fit.any() and 2 * letters[fit].sum() <= letters[long].sum():
+            fit &= off >= self.limit[best] / 2
+        return fit
+
     def score(self, text: str, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores in nats (stretches x languages) and weighed letters of the stretches between neighbouring ``cuts``.
 
@@ -164,35 +215,60 @@ class Model:
         return out / STEPS + LOWEST * len(ORDERS) * letters[:, None], letters * spoken
 
 
-def fit(texts: list[str], labels: list[str], rounds: int = 3) -> Model:
-    """A model from labelled texts, some of them labelled wrongly."""
-    codes = sorted(LANGUAGES)
-    parts = [(t[a:b], codes.index(l)) for t, l in zip(texts, labels) for a, b, _ in sentences(t)]
-    label = np.array([l for _, l in parts], np.int64)
-    joined = "\n".join(p for p, _ in parts)
-    cuts = np.concatenate([[0], np.cumsum([len(p) + 1 for p, _ in parts], dtype=np.int64)])
+def _weights(hashes: list[np.ndarray], label: np.ndarray, languages: int) -> np.ndarray:
+    """Log probabilities of the n-grams ``hashes`` whose languages are ``label``, less those of a uniform hash."""
+    out = np.zeros((len(ORDERS), languages, 1 << BITS))
+    for order, h in enumerate(hashes):
+        n = np.bincount(label * (1 << BITS) + h, minlength=languages << BITS).reshape(languages, -1) + SMOOTHING
+        p = n / n.sum(axis=1, keepdims=True)
+        out[order] = np.log((1 - SHARED) * p + SHARED * p.mean(axis=0)) + np.log(1 << BITS)
+    return out
+
+
+def fit(texts: list[str], labels: list[str], rounds: int = 3) -> Model | None:
+    """A model of the languages in ``labels`` from labelled texts, some of them labelled wrongly; None without any.
+
+    What a sentence of a language may look like is learnt from sentences that a model of the other half of the texts
+    scores; likelier ones than those are taken, others are in none of the model's languages.
+    """
+    codes = sorted(set(labels))
+    if not codes:
+        return None
+    parts = [(t[a:b], codes.index(l), i % 2) for i, (t, l) in enumerate(zip(texts, labels)) for a, b, _ in sentences(t)]
+    label, half = np.array([l for _, l, _ in parts], np.int64), np.array([h for _, _, h in parts], np.int64)
+    joined = "\n".join(p for p, _, _ in parts)
+    cuts = np.concatenate([[0], np.cumsum([len(p) + 1 for p, _, _ in parts], dtype=np.int64)])
     cuts[-1] = max(0, cuts[-1] - 1)
     points = _codes(_lower(joined))
     weight = alphabet()[points]
     owner = np.repeat(np.repeat(np.arange(len(parts)), np.diff(cuts)), weight)
     hashes = [np.repeat(h, weight) for h in grams(points)]
-    model = None
-    for _ in range(rounds):
-        weights = np.zeros((len(ORDERS), len(codes), 1 << BITS))
-        for order, h in enumerate(hashes):
-            n = np.bincount(label[owner] * (1 << BITS) + h, minlength=len(codes) << BITS).reshape(len(codes), -1) + SMOOTHING
-            p = n / n.sum(axis=1, keepdims=True)
-            weights[order] = np.log((1 - SHARED) * p + SHARED * p.mean(axis=0)) + np.log(1 << BITS)
-        model = Model.of(codes, weights)
-        if parts:
-            score, letters = model.score(joined, cuts)
-            gain = score.max(axis=1) - score[np.arange(len(label)), label]
-            label = np.where((gain > RELABEL * letters) & (letters >= LEAST_LETTERS), score.argmax(axis=1), label)
-    return model
-
-
-def sample_and_fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 250, sample_chars: int = 4000) -> Model:
-    """The model of a table: at most ``per_language`` documents of each label, of each at most ``sample_chars`` characters."""
+    model = Model.of(codes, _weights(hashes, label[owner], len(codes)))
+    usual, limit = np.zeros(len(codes)), np.full(len(codes), COMMON_LIMIT)
+    if not parts:
+        return Model(codes, model.packed, usual, limit)
+    for _ in range(rounds - 1):
+        score, letters = model.score(joined, cuts)
+        gain = score.max(axis=1) - score[np.arange(len(label)), label]
+        label = np.where((gain > RELABEL * letters) & (letters >= LEAST_LETTERS), score.argmax(axis=1), label)
+        model = Model.of(codes, _weights(hashes, label[owner], len(codes)))
+    own = np.zeros(len(parts))
+    for side in (0, 1):
+        inside = half[owner] == side
+        other, letters = Model.of(codes, _weights([h[inside] for h in hashes], label[owner][inside], len(codes))).score(joined, cuts)
+        own = np.where(half == side, own, other[np.arange(len(label)), label])
+    for c in range(len(codes)):
+        known = (label == c) & (letters >= LEAST_LETTERS)
+        if known.any():
+            usual[c] = np.median(own[known] / letters[known])
+        if known.sum() >= LEAST_KNOWN:
+            low, middle = np.quantile((own[known] / letters[known] - usual[c]) * np.sqrt(letters[known]), [ODD, 0.5])
+            limit[c] = middle - BEYOND * (middle - low)
+    return Model(codes, model.packed, usual, limit)
+
+
+def sample_and_fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 250, sample_chars: int = 4000) -> Model | None:
+    """The model of the languages that a table's labels name: at most ``per_language`` documents of each label, of each at most ``sample_chars`` characters."""
     codes = declared_codes(F.col(label))
     light = df.where(F.length(text) > 0).select(F.col(key).alias("__key"), F.element_at(F.when(F.size(codes) == 1, codes), 1).alias("__code")).where("__code IS NOT NULL")
     first = Window.partitionBy("__code").orderBy(F.xxhash64("__key"), "__key")
@@ -203,6 +279,8 @@ def sample_and_fit(df: DataFrame, key: str = "doc_id", text: str = "text", label
         .select("__text", "__code")
         .collect()
     )
+    counts = Counter(r["__code"] for r in rows)
+    rows = [r for r in rows if counts[r["__code"]] >= LEAST_SHARE * len(rows)]
     return fit([r["__text"] for r in rows], [r["__code"] for r in rows])
 
 
@@ -240,8 +318,8 @@ def _path(score: np.ndarray) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def _segments(codes: list[str], parts: list[tuple[int, int, bool]], score: np.ndarray, letters: np.ndarray) -> Judged:
-    sure = (letters >= LEAST_LETTERS) & (score.max(axis=1) >= LEAST_FIT * letters)
+def _segments(model: Model, parts: list[tuple[int, int, bool]], score: np.ndarray, letters: np.ndarray) -> Judged:
+    sure, codes = model.spoken(score, letters), model.codes
     if not sure.any():
         return None, None, []
     best = score.argmax(axis=1)
@@ -249,7 +327,7 @@ def _segments(codes: list[str], parts: list[tuple[int, int, bool]], score: np.nd
         best = _path(np.where(sure[:, None], score, 0.0))
     else:
         best[:] = best[sure][0]
-    posterior = 1 / np.exp(np.minimum(score - score[np.arange(len(best)), best][:, None], 30)).sum(axis=1)
+    posterior = 1 / np.exp(np.minimum((score - score[np.arange(len(best)), best][:, None]) / OVERLAP, 30)).sum(axis=1)
     weight: dict[int, float] = {}
     segments: list[list] = []
     for (start, end, whole), language, n, p, known in zip(parts, best.tolist(), letters.tolist(), posterior.tolist(), sure.tolist()):
@@ -267,13 +345,13 @@ def _segments(codes: list[str], parts: list[tuple[int, int, bool]], score: np.nd
     return codes[main], weight[main] / int(letters[sure].sum()), out
 
 
-def judge_all(model: Model, texts: list[str | None]) -> list[Judged]:
+def judge_all(model: Model | None, texts: list[str | None]) -> list[Judged]:
     """Language and confidence of each text, and its segments; no language where nothing can be judged."""
     out: list[Judged] = [(None, None, [])] * len(texts)
     held: list[tuple[int, list]] = []
     size = 0
     for i, text in enumerate(texts):
-        parts = sentences(text) if text else []
+        parts = sentences(text) if text and model else []
         if parts:
             held.append((i, parts))
             size += len(text)
@@ -285,22 +363,22 @@ def judge_all(model: Model, texts: list[str | None]) -> list[Judged]:
             score, letters = model.score("\n".join(texts[k] for k, _ in held), np.array(cuts))
             at = 0
             for k, own in held:
-                out[k] = _segments(model.codes, own, score[at : at + len(own)], letters[at : at + len(own)])
+                out[k] = _segments(model, own, score[at : at + len(own)], letters[at : at + len(own)])
                 at += len(own)
             held, size = [], 0
     return out
 
 
-def label_languages(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
+def label_languages(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
     """``(key, declared ARRAY<STRING>, lang_code, confidence, segments)``, one row per input row.
 
     ``segments`` are stretches of one language in order, with offsets in code points, a confidence in (0, 1] and the
     number of whole sentences; ``lang_code`` is the language of most letters. Null, empty, blank texts and texts of no
-    language have a null ``lang_code`` and ``confidence`` and no segments. Equal scores go to the first code in the
+    language that the model knows have a null ``lang_code`` and ``confidence`` and no segments; without a model all have. Equal scores go to the first code in the
     alphabet. A null key or label is allowed; repeated rows are judged each; other columns don't matter.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((model.codes, model.packed))  # fixed size: orders x languages x 2^BITS
+    shared = spark.sparkContext.broadcast(model and (model.codes, model.packed, model.usual, model.limit))  # orders x languages x 2^BITS
     schema = StructType(
         [
             StructField(key, df.schema[key].dataType),
@@ -313,7 +391,7 @@ def label_languages(df: DataFrame, model: Model, key: str = "doc_id", text: str
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang_code", pa.string()), ("confidence", pa.float64()), ("whole_sentences", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judged = Model(*shared.value)
+        judged = shared.value and Model(*shared.value)
         names = ("start", "end", "lang_code", "confidence", "whole_sentences")
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):

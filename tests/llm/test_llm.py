@@ -51,6 +51,31 @@ def test_tree_returns_every_entry_within(entries, query, t):
     assert bktree.BKTree(entries).within(query, t) == sorted({(levenshtein(query, e), e) for e in entries if levenshtein(query, e) <= t})
 
 
+def test_small_edits_by_length():
+    rules = canonical.Conventions()
+    names = ["hypertension", "acetaminophen", "Parkinson disease", "aspirin", "patinsixdorel", "patinsiydorel", "TP53", "KRAS"]
+    rows = [("D", canonical.key_of(canonical.tokens(canonical.clean(n))), 0, n, canonical.edits(canonical.key_of(canonical.tokens(canonical.clean(n))), n), None) for n in names]
+    find = canonical.Resolver(rows, {"D": {"disease"}}, rules)
+    values = {"hypertenssionn": "hypertension", "acetaminofen": "acetaminophen", "Parkinsson diseese": "Parkinson disease", "aspirn": "aspirin", "patinsixdorl": "patinsixdorel", "patinsidorell": "", "TP54": "", "KRAZ": "", "pypertenssion": ""}
+    assert {v: find("D", v) for v in values} == values
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text("abcd ", min_size=6, max_size=14), min_size=1, max_size=25, unique=True), st.lists(st.text("abcd ", min_size=5, max_size=15), max_size=15), st.integers(2, 5))
+def test_shards_agree_with_one_tree(names, values, shards):
+    rules = canonical.Conventions()
+    rows = {}
+    for n in sorted(names):
+        key = canonical.key_of(canonical.tokens(canonical.clean(n)))
+        rows.setdefault(key, ("D", key, 0, n, canonical.edits(key, n), None))
+    rows.pop("", None)
+    rows = list(rows.values())
+    whole = canonical.Resolver(rows, {}, rules)
+    parts = [canonical.Resolver([r for i, r in enumerate(rows) if i % shards == k], {}, rules) for k in range(shards)]
+    for v in [*values, *names, *(n[1:] for n in names)]:
+        assert whole("D", v) == canonical.winner([h for p in parts for h in p.hits("D", v)])
+
+
 ENTRIES = [
     ("Gene", "ABC7", ["stemone factor 7"]),
     ("Gene", "ABC8", []),
@@ -311,6 +336,29 @@ def test_scanned_chunk(spark):
     assert scanned.repair_scans(df.limit(0)).count() == 0
 
 
+def test_only_page_edges_are_furniture(spark):
+    text = "The model was first described in\n1984\nby others and the model of\ncivic\nduty was described\nin the model.\n\nACKNOWLEDGEMENTS\nThe model was described by others of\nduty and the model in the\nmodel was first described.\n\nxiv\n\nThe model was of the\nmodel and others in duty"
+    rows = [(f"c{i}", f"p{i % 3}", f"{text} {i}.") for i in range(6)]
+    df = spark.createDataFrame(rows, "chunk_id string, paper_id string, text string")
+    out = scanned.repair_scans(df).collect()
+    assert len(out) == 6
+    for r in out:
+        assert [(d["defect"], d["item"]) for d in r["defects"]] == [("page_number", "xiv")]
+        assert "in 1984 by" in r["text"] and "civic duty" in r["text"] and "ACKNOWLEDGEMENTS" in r["text"]
+    page = scanned.Page.of(["a text that", "    Journal of Things", "- 12 -", "goes on and", "17", "on", "", "18", "Then."])
+    assert page.numbers() == {2, 4, 7} and [c[0] for c in page.candidates() if c[1] and c[2]] == [scanned.fold("Journal of Things")]
+    reader = scanned.Reader({w: 1000 for w in ("the", "model", "others")})
+    assert reader.right("rnodel") == "model" and reader.right("0thers") == "others" and reader.right("x" * 500) is None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("rnmlcidhuvw0o15s6bcefatqg", min_size=1, max_size=12), st.integers(0, 200))
+def test_confusions_keep_the_strokes(word, pick):
+    options = [word[:i] + was + word[i + len(wrong) :] for wrong, was in scanned.CONFUSIONS for i in range(len(word)) if word.startswith(wrong, i)]
+    if options:
+        assert options[pick % len(options)].translate(scanned.STROKES) == word.translate(scanned.STROKES)
+
+
 # -- 7 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -408,9 +456,9 @@ def test_mix(spark):
 
 
 def test_labels_are_read(spark):
-    rows = ["EN", " en-GB ", "eng", "English", "pt_BR", "zh-Hans", "und", "-", "", None, "de, fr"]
+    rows = ["EN", " en-GB ", "eng", "English", "pt_BR", "zh-Hans", "und", "-", "", None, "de, fr", "Swedish"]
     got = [r["c"] for r in spark.createDataFrame([(x,) for x in rows], "l string").select(language.declared_codes(F.col("l")).alias("c")).collect()]
-    assert got == [["en"], ["en"], ["en"], ["en"], ["pt"], ["zh"], [], [], [], [], ["de", "fr"]]
+    assert got == [["en"], ["en"], ["en"], ["en"], ["pt"], ["zh"], [], [], [], [], ["de", "fr"], ["sv"]]
 
 
 @pytest.fixture(scope="module")
@@ -435,6 +483,21 @@ def test_languages(spark, more_documents):
     assert language.label_languages(df.limit(0), model).count() == 0
 
 
+def test_languages_that_no_label_names_are_none(spark, more_documents):
+    model = language.sample_and_fit(more_documents)
+    assert set(model.codes) == {"de", "en", "es", "fr", "it", "nl", "pt", "ru", "zh"}
+    other = [
+        "Patienterna fick läkemedlet varje morgon och undersöktes efter två veckor. Resultaten visar att behandlingen är effektiv hos äldre vuxna.",
+        "Pacjenci otrzymywali lek każdego ranka i byli badani po dwóch tygodniach. Wyniki wskazują, że leczenie jest skuteczne u osób starszych.",
+        "Potilaat saivat lääkettä joka aamu ja heidät tutkittiin kahden viikon kuluttua. Tulokset osoittavat, että hoito on tehokas.",
+    ]
+    assert [j[0] for j in language.judge_all(model, other)] == [None, None, None]
+    own = ["My dog likes to chase squirrels in the park, and yesterday he fell into the pond.", "Mein Hund jagt gern Eichhörnchen im Park, und gestern ist er in den Teich gefallen."]
+    assert [j[0] for j in language.judge_all(model, own)] == ["en", "de"]
+    near = language.judge_all(model, ["Els pacients van rebre el medicament cada matí i van ser examinats."])[0]
+    assert near[0] is None or near[1] < 0.9
+
+
 def test_held_out_accuracy(more_documents):
     rows = [r for r in more_documents.select("text", F.try_element_at(language.declared_codes(F.col("lang")), F.lit(1)).alias("code")).where("text IS NOT NULL AND code IS NOT NULL AND length(text) > 60").orderBy("text").collect()]
     train, held = rows[::2], rows[1::2]
