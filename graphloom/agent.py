@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +54,11 @@ class Toolbox:
     vectors: DataFrame
     embedder: Embedder = field(default_factory=HashedWords)
 
+    @cached_property
+    def steps(self) -> DataFrame:
+        """The graph's adjacency, made with the first path that is asked for."""
+        return paths.adjacency(self.graph.all_edges())
+
     def execute(self, name: str, inputs: dict) -> DataFrame:
         tool = next((t for t in TOOLS if t.name == name), None)
         if tool is None:
@@ -72,7 +79,7 @@ class Toolbox:
         if name == "get_chunk_text":
             return retrieve.chunk_lookup(g.chunks, x["chunk_id"])
         if name == "find_path":
-            return paths.shortest_path(g.all_edges(), (x["source_type"], x["source_name"]), (x["target_type"], x["target_name"]), x["max_hops"])
+            return paths.shortest_path(g.all_edges(), (x["source_type"], x["source_name"]), (x["target_type"], x["target_name"]), x["max_hops"], steps=self.steps)
         return retrieve.edge_lookup(g, (x["source_type"], x["source_name"]), x["relationship"], (x["target_type"], x["target_name"]))
 
     def _vector(self, query: str) -> list[float]:
@@ -100,8 +107,11 @@ def calibration_prompt(question: str, answer: str, sources: list[str], config: E
     return f"Question: {question}\n\nAnswer: {answer}\n\nSources:\n{blocks}"
 
 
-def offline_calibrator(question: str, answer: str, sources: list[str]) -> dict:
-    """Confidence from the share of sources that hold a longer word of the question."""
+def offline_calibrator(prompt: str) -> dict:
+    """Confidence from the share of the prompt's sources that hold a longer word of its question."""
+    head, _, rest = prompt.partition("\n\nSources:\n")
+    question = head.partition("\n\nAnswer: ")[0].removeprefix("Question: ")
+    sources = re.split(r"(?:\A|\n\n)\[Source \d+\]\n", rest)[1:]
     words = {w.strip("?.,;:!()\"'").lower() for w in question.split() if len(w) > 4}
     n, k = len(sources), sum(any(w in (s or "").lower() for w in words) for s in sources)
     score = round(100 * k / n) if n else 0
@@ -111,7 +121,11 @@ def offline_calibrator(question: str, answer: str, sources: list[str]) -> dict:
 RECORD = "score double, label string, lower_bound double, upper_bound double, rationale string, evidence_count int, contradictions string"
 
 
-def ask(question: str, toolbox: Toolbox, planner: Planner = offline_planner, calibrators: list | None = None, config: EngineConfig = EngineConfig()) -> tuple[str, list[str], dict, list[dict]]:
+#: A calibrator takes the prompt and gives the fields of RECORD; one that raises hands over to the next.
+Calibrator = Callable[[str], dict]
+
+
+def ask(question: str, toolbox: Toolbox, planner: Planner = offline_planner, calibrators: list[Calibrator] | None = None, config: EngineConfig = EngineConfig()) -> tuple[str, list[str], dict, list[dict]]:
     """``(answer, evidence chunk ids, confidence, trace)``; the tools' results are top-k lists or pages, so the trace is small."""
     trace: list[dict] = []
     evidence: list[str] = []
@@ -129,9 +143,10 @@ def ask(question: str, toolbox: Toolbox, planner: Planner = offline_planner, cal
     ids = spark.createDataFrame(list(enumerate(dict.fromkeys(evidence[: config.sources_shown]))), "pos int, chunk_id string")
     sources = [r["text"] or "" for r in retrieve.texts_in_order(toolbox.graph.chunks, F.broadcast(ids)).collect()]
     raw: dict = {}
+    prompt = calibration_prompt(question, answer, sources, config)
     for calibrate in calibrators or [offline_calibrator]:
         try:
-            raw = calibrate(question, answer, sources)
+            raw = calibrate(prompt)
             break
         except Exception:  # noqa: BLE001, S112 - any failure hands over to the next
             continue

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 # fixed values: labels of entities, types of relations, and the two structural edge types
 LABELS = ("Gene", "Protein", "Drug", "Disease", "Pathway", "CellType", "Organism", "Mechanism")
@@ -56,6 +58,51 @@ STOPWORDS = (
 )
 
 
+#: Names in general use for one thing, by their usual spelling; a table of one's own takes its place.
+SYNONYMS = {
+    "p53": "TP53",
+    "her2": "ERBB2",
+    "her2/neu": "ERBB2",
+    "c-myc": "MYC",
+    "pd-1": "PDCD1",
+    "pd-l1": "CD274",
+    "vegf": "VEGFA",
+    "tnf-alpha": "TNF",
+    "tnf-α": "TNF",
+    "tumor necrosis factor": "TNF",
+    "il-6": "IL6",
+    "interleukin-6": "IL6",
+    "il-1β": "IL1B",
+    "tgf-β": "TGFB1",
+    "tgf-beta": "TGFB1",
+    "ifn-γ": "IFNG",
+    "nf-κb": "NF-kB",
+    "nf-kappab": "NF-kB",
+    "acetylsalicylic acid": "aspirin",
+    "paracetamol": "acetaminophen",
+    "5-fu": "fluorouracil",
+    "5-fluorouracil": "fluorouracil",
+    "adriamycin": "doxorubicin",
+    "type ii diabetes": "type 2 diabetes",
+    "t2d": "type 2 diabetes",
+    "t2dm": "type 2 diabetes",
+    "heart attack": "myocardial infarction",
+    "high blood pressure": "hypertension",
+    "stroke": "cerebrovascular accident",
+    "copd": "chronic obstructive pulmonary disease",
+    "nsclc": "non-small cell lung cancer",
+    "hcc": "hepatocellular carcinoma",
+    "aml": "acute myeloid leukemia",
+    "natural killer cell": "NK cell",
+    "treg": "regulatory T cell",
+    "tregs": "regulatory T cell",
+    "e. coli": "Escherichia coli",
+    "s. aureus": "Staphylococcus aureus",
+    "m. tuberculosis": "Mycobacterium tuberculosis",
+    "house mouse": "Mus musculus",
+}
+
+
 @dataclass(frozen=True)
 class EngineConfig:
     """Sizes and limits of the pipeline."""
@@ -74,3 +121,10 @@ class EngineConfig:
     evidence_chars: int = 300
     embedding_dim: int = 64
     embedding_batch: int = 64
+
+    @staticmethod
+    def from_env(prefix: str = "GRAPHLOOM_", environ: Mapping[str, str] | None = None) -> EngineConfig:
+        """The defaults, changed by variables like ``GRAPHLOOM_WINDOW``; a value that is no number is an error."""
+        env = os.environ if environ is None else environ
+        given = {f.name: env[prefix + f.name.upper()] for f in fields(EngineConfig) if prefix + f.name.upper() in env}
+        return EngineConfig(**{name: type(getattr(EngineConfig, name))(value) for name, value in given.items()})

@@ -61,6 +61,7 @@ def confidence_record(raw: Column) -> Column:
         F.when(raw["label"].isin("High", "Medium", "Low"), raw["label"]).otherwise(F.lit("Medium")).alias("label"),
         F.least(low, high).alias("lower_bound"),
         F.greatest(low, high).alias("upper_bound"),
+        # fixed values: what stands for a missing rationale and for missing contradictions
         F.coalesce(raw["rationale"], F.lit("Confidence could not be determined.")).alias("rationale"),
         F.coalesce(raw["evidence_count"], F.lit(0)).alias("evidence_count"),
         F.coalesce(raw["contradictions"], F.lit("none")).alias("contradictions"),

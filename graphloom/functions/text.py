@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 WS = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
 LINE_END = r"[\n\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
+# fixed values: what a header and a figure's caption look like
 HEADER = rf"(?md)^(#{{2,6}}{WS}+.+|(?:\*\*[^*\n]+\*\*){WS}*)$"
 CAPTION = rf"(?mid)^(fig(?:ure)?\.?{WS}*\d+[a-zA-Z]?[.:–\-]?{WS}*.{{0,200}})$"
 

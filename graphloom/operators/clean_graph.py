@@ -31,14 +31,18 @@ def without_isolated(graph: KnowledgeGraph) -> KnowledgeGraph:
     return graph.with_(entities=graph.entities.join(endpoints(graph), ["label", "name"], "left_semi"))
 
 
+def _edges(graph: KnowledgeGraph, kept: Column) -> dict[str, DataFrame]:
+    return {"edges": graph.edges.where(kept), "evidence": graph.evidence.where(kept)}
+
+
 def without(graph: KnowledgeGraph, unwanted) -> KnowledgeGraph:
     """Without the entities whose name is unwanted, and what touches them."""
     keep = lambda c: ~F.coalesce(unwanted(F.col(c)), F.lit(False))
-    return graph.with_(entities=graph.entities.where(keep("name")), mentions=graph.mentions.where(keep("name")), edges=graph.edges.where(keep("src_name") & keep("tgt_name")))
+    return graph.with_(entities=graph.entities.where(keep("name")), mentions=graph.mentions.where(keep("name")), **_edges(graph, keep("src_name") & keep("tgt_name")))
 
 
 def without_loops(graph: KnowledgeGraph) -> KnowledgeGraph:
-    return graph.with_(edges=graph.edges.where("NOT (src_label = tgt_label AND src_name = tgt_name)"))
+    return graph.with_(**_edges(graph, F.expr("NOT (src_label = tgt_label AND src_name = tgt_name)")))
 
 
 def clean(graph: KnowledgeGraph) -> KnowledgeGraph:
@@ -47,13 +51,11 @@ def clean(graph: KnowledgeGraph) -> KnowledgeGraph:
 
 
 def clean_stats(graph: KnowledgeGraph) -> DataFrame:
-    """One row with what each pass removes from the graph that the one before left."""
-    lonely = graph.entities.join(endpoints(graph), ["label", "name"], "left_anti").select(F.lit("isolated_nodes").alias("what"))
-    one = without_isolated(graph)
+    """One row with what each pass removes from the graph that the one before left; entities and edges are read once."""
     name = F.col("name")
-    kind = F.when(is_trivial(name), F.lit("trivial_name_nodes")).when(is_stopwords(name), F.lit("stopword_nodes"))
-    empty = one.entities.select(kind.alias("what")).where("what IS NOT NULL")
-    rest = without(without(one, is_trivial), is_stopwords)
-    loops = rest.edges.where("src_label = tgt_label AND src_name = tgt_name").select(F.lit("self_loops").alias("what"))
-    every = lonely.unionByName(empty).unionByName(loops)
+    touched = graph.entities.join(endpoints(graph).withColumn("__touched", F.lit(True)), ["label", "name"], "left")
+    kind = F.when(F.col("__touched").isNull(), "isolated_nodes").when(is_trivial(name), "trivial_name_nodes").when(is_stopwords(name), "stopword_nodes")
+    empty = F.coalesce(is_trivial(F.col("src_name")), F.lit(False)) | F.coalesce(is_stopwords(F.col("src_name")), F.lit(False))
+    loops = graph.edges.where("src_label = tgt_label AND src_name = tgt_name").where(~empty)
+    every = touched.select(kind.alias("what")).unionByName(loops.select(F.lit("self_loops").alias("what")))
     return every.agg(*[F.count(F.when(F.col("what") == w, 1)).alias(w) for w in ("isolated_nodes", "trivial_name_nodes", "stopword_nodes", "self_loops")])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import stats
 from graphloom.graph import EDGE
+from graphloom.plans.stage import staged
 
 #: Endpoint pairs up to this number are broadcast (16 MB); more are joined.
 MOST_BROADCAST = 1_000_000
@@ -16,19 +17,26 @@ PAIR = ("src_label", "src_name", "tgt_label", "tgt_name")
 def comention_counts(edges: DataFrame, mentions: DataFrame) -> DataFrame:
     """Chunks that mention both endpoints, for each distinct endpoint pair of the edges; none for a loop.
 
-    Pairs are formed within chunks, whose entities are few, and never per entity: an entity in very many chunks
-    makes no large group. Within the counting, names and chunks are 64-bit hashes.
+    A pair belongs to its rarer endpoint: each mention of that one looks the other up among the entities of its own
+    chunk, so an entity of very many chunks costs no more than its partners do, and nothing is shuffled before the
+    counts while the pairs are few enough to be broadcast. Names are 64-bit hashes meanwhile.
     """
     pairs = edges.where("NOT (src_label = tgt_label AND src_name = tgt_name)").select(*PAIR).distinct()
     pairs = pairs.select(*PAIR, F.xxhash64("src_label", "src_name").alias("a"), F.xxhash64("tgt_label", "tgt_name").alias("b"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct()
-    once = mentions.select(F.xxhash64("label", "name").alias("a"), F.xxhash64("chunk_id").alias("chunk")).distinct().join(ends, "a", "left_semi")
-    both = once.join(once.withColumnRenamed("a", "b"), "chunk").where("a <> b")
-    asked = pairs.select("a", "b")
-    # pairs formed within chunks outnumber the asked ones by far: they meet them before any shuffle, or else unsorted
-    asked = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked.hint("shuffle_hash")
-    counts = both.join(asked, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_chunks"))
-    return pairs.join(counts, ["a", "b"]).select(*PAIR, "n_chunks")
+    pairs = staged(pairs, "pairs")
+    of_chunk = mentions.select(F.xxhash64("label", "name").alias("a"), "chunk_id").groupBy("chunk_id").agg(F.collect_set("a").alias("all"))  # of one chunk
+    of_chunk = staged(of_chunk, "together")
+    once = of_chunk.select(F.explode("all").alias("a"), "all")
+    n = once.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    asked = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()  # one way round
+    counted = asked.join(n, "a").join(n.select(F.col("a").alias("b"), F.col("n").alias("m")), "b")  # both are mentioned
+    rarer = F.col("n") <= F.col("m")
+    owned = staged(counted.select(F.when(rarer, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(rarer, F.col("b")).otherwise(F.col("a")).alias("other")), "owned")
+    few = owned.count() <= MOST_BROADCAST
+    both = once.join(F.broadcast(owned) if few else owned, "a").where(F.array_contains("all", F.col("other")))
+    counts = both.groupBy(F.least("a", "other").alias("lo"), F.greatest("a", "other").alias("hi")).agg(F.count(F.lit(1)).alias("n_chunks"))
+    joined = pairs.join(counts, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")))
+    return joined.select(*PAIR, "n_chunks")
 
 
 def edge_intervals(edges: DataFrame, mentions: DataFrame, alpha: float = 0.05, boundary: str = "certain") -> DataFrame:
@@ -41,4 +49,4 @@ def edge_intervals(edges: DataFrame, mentions: DataFrame, alpha: float = 0.05, b
     k = F.when(F.col("evidence_count") == 0, F.lit(1)).otherwise(F.col("evidence_count")).cast("long")
     joined = joined.withColumn("k", k).withColumn("n", F.greatest(F.coalesce("n_chunks", F.lit(0)), "k"))
     ci = stats.wilson(F.col("k"), F.col("n"), alpha, boundary)
-    return joined.withColumn("__ci", ci).select(*EDGE, "evidence_count", "source_chunk_ids", "k", "n", F.col("__ci.lower").alias("confidence_lower"), F.col("__ci.upper").alias("confidence_upper"))
+    return joined.withColumn("__ci", ci).select(*EDGE, "evidence_count", "k", "n", F.col("__ci.lower").alias("confidence_lower"), F.col("__ci.upper").alias("confidence_upper"))

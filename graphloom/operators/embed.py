@@ -47,6 +47,7 @@ def entity_texts(entities: DataFrame, edges: DataFrame, config: EngineConfig = E
     some = F.size("aliases") > 0
     aliases = F.when(some, F.array_join(F.slice("aliases", 1, config.aliases_shown), ", ")).otherwise(F.lit("none"))
     head = F.coalesce(_lookup(LABEL_PHRASES, F.col("label")), F.col("label"))
+    # fixed values: the sentences of an entity's text
     text = F.concat(head, F.lit(" "), "name", F.lit(". Also known as: "), aliases, F.lit(". "), F.coalesce("context", F.lit("No known relationships in graph.")))
     return joined.select("label", F.col("name").alias("key"), text.alias("text"))
 
@@ -101,8 +102,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (length(x) > 0) & (length(y) > 0), dot / (length(x) * length(y)))
 
 
-def nearest(nodes: DataFrame, query: list[float], k: int, key: str = "key", vector: str = "embedding") -> DataFrame:
-    """The ``k`` nodes with the highest ``score`` = (1 + cosine) / 2; equal scores by key. NaN and misfits take no part."""
+def nearest(nodes: DataFrame, query: list[float], k: int, key: str = "key", vector: str = "embedding", label: str | None = None) -> DataFrame:
+    """The ``k`` nodes, of a ``label`` if given, with the highest ``score`` = (1 + cosine) / 2; equal scores by key.
+
+    NaN and misfits take no part. Exact, by one scan; :mod:`graphloom.operators.vector_index` reads a part only.
+    """
+    if label is not None:
+        nodes = nodes.where(F.col("label") == label)
     q = F.lit([float(x) for x in query])
     score = (1 + cosine(F.col(vector), q)) / 2
     scored = nodes.withColumn("score", score).where(F.col("score").isNotNull() & ~F.isnan("score"))

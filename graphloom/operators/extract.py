@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.config import FALLBACK_LABEL, LABELS, RELATIONS
-from graphloom.functions.text import strip
+from graphloom.functions.text import let, strip
 
 #: An extractor takes ``(text, hints)`` and gives raw JSON; one that raises hands over to the next.
 Extractor = Callable[[str, str], str]
@@ -79,51 +79,68 @@ def parsed(raw: Column) -> Column:
     return F.coalesce(F.try_parse_json(raw), F.try_parse_json(F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit(""))))
 
 
-def _items(df: DataFrame, field: str) -> DataFrame:
-    keys = [c for c in df.columns if c != "raw"]
-    lists = df.select(*keys, F.try_variant_get(parsed(F.col("raw")), f"$.{field}", "array<variant>").alias("__l"))
-    items = lists.select(*keys, F.posexplode("__l").alias("i", "v"))
-    return items.where(F.schema_of_variant("v").startswith("OBJECT"))
+def _list(variant: Column, field: str) -> Column:
+    """The objects in a list of an answer, as ``ARRAY<STRUCT<i, v>>`` with their places in it."""
+    every = F.try_variant_get(variant, f"$.{field}", "array<variant>")
+    placed = F.transform(every, lambda v, i: F.struct(i.alias("i"), v.alias("v")))
+    return F.filter(placed, lambda x: F.schema_of_variant(x["v"]).startswith("OBJECT"))
 
 
-def _string(field: str) -> Column:
+def _string(item: Column, field: str) -> Column:
     """A field of an item if it is a string, else null."""
-    value = F.try_variant_get(F.col("v"), f"$.{field}", "variant")
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(F.col("v"), f"$.{field}", "string"))
+    value = F.try_variant_get(item, f"$.{field}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(item, f"$.{field}", "string"))
+
+
+def entity_list(variant: Column, labels: tuple[str, ...] = LABELS) -> Column:
+    """``ARRAY<STRUCT<i, name, type, aliases>>`` of a parsed answer: see :func:`valid_entities`."""
+
+    def made(x: Column) -> Column:
+        v = x["v"]
+        label = F.when(F.try_variant_get(v, "$.type", "variant").isNull(), F.lit(FALLBACK_LABEL)).otherwise(_string(v, "type"))
+        aliases = F.coalesce(F.try_variant_get(v, "$.aliases", "array<variant>"), F.array().cast("array<variant>"))
+        strings = F.transform(F.filter(aliases, lambda a: F.schema_of_variant(a) == "STRING"), lambda a: F.try_variant_get(a, "$", "string"))
+        return F.struct(x["i"].alias("i"), strip(_string(v, "name")).alias("name"), label.alias("type"), strings.alias("aliases"))
+
+    return F.filter(F.transform(_list(variant, "entities"), made), lambda e: F.coalesce((e["name"] != "") & e["type"].isin(*labels), F.lit(False)))
+
+
+def relationship_list(variant: Column, labels: tuple[str, ...] = LABELS, relations: tuple[str, ...] = RELATIONS, evidence: int = 300) -> Column:
+    """``ARRAY<STRUCT<i, source_name, ...>>`` of a parsed answer: see :func:`valid_relationships`."""
+    known = lambda c: F.when(c.isin(*labels), c).otherwise(F.lit(FALLBACK_LABEL))
+
+    def made(x: Column) -> Column:
+        v = x["v"]
+        return F.struct(
+            x["i"].alias("i"),
+            strip(_string(v, "source_name")).alias("source_name"),
+            known(_string(v, "source_type")).alias("source_type"),
+            F.upper(_string(v, "relationship")).alias("relationship"),
+            strip(_string(v, "target_name")).alias("target_name"),
+            known(_string(v, "target_type")).alias("target_type"),
+            F.substring(F.coalesce(F.try_variant_get(v, "$.evidence", "string"), F.lit("")), 1, evidence).alias("evidence"),
+        )
+
+    named = lambda r: F.coalesce((r["source_name"] != "") & (r["target_name"] != "") & r["relationship"].isin(*relations), F.lit(False))
+    return F.filter(F.transform(_list(variant, "relationships"), made), named)
+
+
+def _exploded(df: DataFrame, list_: Column) -> DataFrame:
+    keys = [c for c in df.columns if c != "raw"]
+    return df.select(*keys, F.explode(list_).alias("__e")).select(*keys, "__e.*")
 
 
 def valid_entities(df: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
     """``(…, i, name, type, aliases)`` of the answers ``raw``: objects with a name; a missing type is the fallback, another one drops the item; aliases that aren't strings are dropped."""
-    items = _items(df, "entities")
-    keys = [c for c in items.columns if c != "v"]
-    given = F.try_variant_get(F.col("v"), "$.type", "variant")
-    label = F.when(given.isNull(), F.lit(FALLBACK_LABEL)).otherwise(_string("type"))
-    aliases = F.coalesce(F.try_variant_get(F.col("v"), "$.aliases", "array<variant>"), F.array().cast("array<variant>"))
-    strings = F.transform(F.filter(aliases, lambda a: F.schema_of_variant(a) == "STRING"), lambda a: F.try_variant_get(a, "$", "string"))
-    out = items.select(*keys, strip(_string("name")).alias("name"), label.alias("type"), strings.alias("aliases"))
-    return out.where((F.col("name") != "") & F.col("type").isin(*labels))
+    return _exploded(df, let(parsed(F.col("raw")), lambda v: entity_list(v, labels)))
 
 
 def valid_relationships(df: DataFrame, labels: tuple[str, ...] = LABELS, relations: tuple[str, ...] = RELATIONS, evidence: int = 300) -> DataFrame:
     """``(…, i, source_name, source_type, relationship, target_name, target_type, evidence)``: objects with both names and a known relation in any case; an unknown endpoint type is the fallback; evidence is cut."""
-    items = _items(df, "relationships")
-    keys = [c for c in items.columns if c != "v"]
-    known = lambda c: F.when(c.isin(*labels), c).otherwise(F.lit(FALLBACK_LABEL))
-    out = items.select(
-        *keys,
-        strip(_string("source_name")).alias("source_name"),
-        known(_string("source_type")).alias("source_type"),
-        F.upper(_string("relationship")).alias("relationship"),
-        strip(_string("target_name")).alias("target_name"),
-        known(_string("target_type")).alias("target_type"),
-        F.substring(F.coalesce(F.try_variant_get(F.col("v"), "$.evidence", "string"), F.lit("")), 1, evidence).alias("evidence"),
-    )
-    return out.where((F.col("source_name") != "") & (F.col("target_name") != "") & F.col("relationship").isin(*relations))
+    return _exploded(df, let(parsed(F.col("raw")), lambda v: relationship_list(v, labels, relations, evidence)))
 
 
 def validated(df: DataFrame, keys: list[str]) -> DataFrame:
-    """A row per chunk with its ``entities`` and ``relationships`` as arrays in order."""
-    ent = valid_entities(df.select(*keys, "raw")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "name", "type", "aliases"))).alias("entities"))
-    rel_fields = ("source_name", "source_type", "relationship", "target_name", "target_type", "evidence")
-    rel = valid_relationships(df.select(*keys, "raw")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", *rel_fields))).alias("relationships"))
-    return df.select(*keys).distinct().join(ent, keys, "left").join(rel, keys, "left")
+    """A row per chunk with its ``entities`` and ``relationships`` as arrays in order; each answer is parsed once, within its row."""
+    both = let(parsed(F.col("raw")), lambda v: F.struct(entity_list(v).alias("entities"), relationship_list(v).alias("relationships")))
+    return df.select(*keys, both.alias("__b")).select(*keys, "__b.*")

@@ -11,24 +11,39 @@ from graphloom.plans.stage import staged
 
 
 
-def undirected(edges: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
-    """``(a_label, a_key, rel_type, b_label, b_key)``, each edge both ways, of the given types or all."""
+#: A frontier of up to this many nodes is broadcast (some 50 MB); a larger one is joined.
+MOST_BROADCAST = 500_000
+
+
+def adjacency(edges: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
+    """``(a_label, a_key, rel_type, b_label, b_key)``, each edge both ways, of the given types or all; written out.
+
+    Made once for a graph, it serves any number of searches. No shuffle: parallel edges are left to the searches.
+    """
     if types is not None:
         edges = edges.where(F.col("rel_type").isin(*types))
     out = edges.select(F.col("src_label").alias("a_label"), F.col("src_key").alias("a_key"), "rel_type", F.col("tgt_label").alias("b_label"), F.col("tgt_key").alias("b_key"))
     back = edges.select(F.col("tgt_label").alias("a_label"), F.col("tgt_key").alias("a_key"), "rel_type", F.col("src_label").alias("b_label"), F.col("src_key").alias("b_key"))
-    return out.unionByName(back).groupBy("a_label", "a_key", "b_label", "b_key").agg(F.min("rel_type").alias("rel_type"))
+    return staged(out.unionByName(back), "steps")
+
+
+def _small(front: DataFrame) -> DataFrame:
+    return F.broadcast(front) if front.count() <= MOST_BROADCAST else front
 
 
-def hop_distances(edges: DataFrame, start: tuple[str, str], max_hops: int = 4, types: tuple[str, ...] | None = None) -> DataFrame:
-    """``(label, key, hops)`` of the nodes within ``max_hops`` of the start, the start itself at 0."""
+def hop_distances(edges: DataFrame, start: tuple[str, str], max_hops: int = 4, types: tuple[str, ...] | None = None, steps: DataFrame | None = None) -> DataFrame:
+    """``(label, key, hops)`` of the nodes within ``max_hops`` of the start, the start itself at 0.
+
+    ``steps`` is an :func:`adjacency` made before. A hop scans it once, with the frontier broadcast while it is small.
+    """
     spark = edges.sparkSession
-    steps = staged(undirected(edges, types), "steps")
+    steps = adjacency(edges, types) if steps is None else steps
     found = [spark.createDataFrame([(*start, 0)], "label string, key string, hops int")]
     front = found[0]
     for hop in range(1, max_hops + 1):
-        after = front.select(F.col("label").alias("a_label"), F.col("key").alias("a_key")).join(steps, ["a_label", "a_key"]).select(F.col("b_label").alias("label"), F.col("b_key").alias("key")).distinct()
-        seen = reduce(DataFrame.unionByName, found).select("label", "key")
+        own = front.select(F.col("label").alias("a_label"), F.col("key").alias("a_key"))
+        after = steps.join(_small(own), ["a_label", "a_key"]).select(F.col("b_label").alias("label"), F.col("b_key").alias("key")).distinct()
+        seen = reduce(DataFrame.unionByName, found[-2:]).select("label", "key")  # a neighbour is at most one hop nearer
         front = staged(after.join(seen, ["label", "key"], "left_anti").withColumn("hops", F.lit(hop)), "front")
         if front.isEmpty():
             break
@@ -36,33 +51,44 @@ def hop_distances(edges: DataFrame, start: tuple[str, str], max_hops: int = 4, t
     return reduce(DataFrame.unionByName, found)
 
 
-def shortest_path(edges: DataFrame, start: tuple[str, str], end: tuple[str, str], max_hops: int = 4, types: tuple[str, ...] | None = None) -> DataFrame:
+def _extended(front: DataFrame, steps: DataFrame, seen: list[DataFrame], forward: bool) -> DataFrame:
+    """The best path to each node one step beyond a frontier that ``seen``, the last two frontiers, doesn't hold."""
+    after = steps.join(_small(front.select(F.col("label").alias("a_label"), F.col("key").alias("a_key"), "nodes", "rels")), ["a_label", "a_key"])
+    node, rel = F.array("b_key"), F.array("rel_type")
+    path = F.struct(F.concat("nodes", node).alias("nodes"), F.concat("rels", rel).alias("rels")) if forward else F.struct(F.concat(node, "nodes").alias("nodes"), F.concat(rel, "rels").alias("rels"))
+    best = after.groupBy(F.col("b_label").alias("label"), F.col("b_key").alias("key")).agg(F.min(path).alias("p"))
+    old = reduce(DataFrame.unionByName, [s.select("label", "key") for s in seen])
+    return staged(best.join(old, ["label", "key"], "left_anti").select("label", "key", "p.nodes", "p.rels"), "front")
+
+
+def shortest_path(edges: DataFrame, start: tuple[str, str], end: tuple[str, str], max_hops: int = 4, types: tuple[str, ...] | None = None, steps: DataFrame | None = None) -> DataFrame:
     """``(nodes, rels)`` of one shortest path of 1 to ``max_hops`` steps, along edges in either direction.
 
     Of equally short paths the one with the least array of keys, and of parallel edges the least type; no row if there
-    is none or start and end are the same. Only the best path to each node of a level is kept, so a level never holds
-    more rows than there are nodes.
+    is none or start and end are the same. Searched from both ends, always on from the smaller frontier; the first
+    node that both reach lies on a shortest path. Only the best path to each node of a frontier is kept, which is
+    enough, as paths through a node are compared by their part before it and then by the rest.
     """
     spark = edges.sparkSession
     schema = "label string, key string, nodes array<string>, rels array<string>"
     none = spark.createDataFrame([], "nodes array<string>, rels array<string>")
     if start == end:
         return none
-    steps = staged(undirected(edges, types), "steps")
-    front = spark.createDataFrame([(*start, [start[1]], [])], schema)
-    seen = [front.select("label", "key")]
+    steps = adjacency(edges, types) if steps is None else steps
+    sides = [[spark.createDataFrame([(*node, [node[1]], [])], schema)] for node in (start, end)]
+    sizes = [1, 1]
     for _ in range(max_hops):
-        after = front.select(F.col("label").alias("a_label"), F.col("key").alias("a_key"), "nodes", "rels").join(steps, ["a_label", "a_key"])
-        path = F.struct(F.concat("nodes", F.array("b_key")).alias("nodes"), F.concat("rels", F.array("rel_type")).alias("rels"))
-        best = after.groupBy(F.col("b_label").alias("label"), F.col("b_key").alias("key")).agg(F.min(path).alias("p"))
-        best = best.join(reduce(DataFrame.unionByName, seen), ["label", "key"], "left_anti").select("label", "key", "p.nodes", "p.rels")
-        front = staged(best, "front")
-        hit = front.where((F.col("label") == end[0]) & (F.col("key") == end[1]))
-        if not hit.isEmpty():
-            return hit.select("nodes", "rels")
-        if front.isEmpty():
+        side = 0 if sizes[0] <= sizes[1] else 1
+        front = _extended(sides[side][-1], steps, sides[side][-2:], side == 0)
+        sizes[side] = front.count()
+        if not sizes[side]:
             return none
-        seen.append(front.select("label", "key"))
+        sides[side].append(front)
+        tail = sides[1][-1].select("label", "key", F.col("nodes").alias("__n"), F.col("rels").alias("__r"))
+        met = sides[0][-1].join(tail, ["label", "key"]).select(F.concat("nodes", F.slice("__n", 2, max_hops + 1)).alias("nodes"), F.concat("rels", "__r").alias("rels"))
+        best = met.agg(F.min(F.struct("nodes", "rels")).alias("p")).where("p IS NOT NULL").select("p.nodes", "p.rels")
+        if not best.isEmpty():
+            return best
     return none
 
 

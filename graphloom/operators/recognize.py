@@ -13,6 +13,29 @@ from graphloom.config import RECOGNISED_LABELS
 
 #: A recogniser takes a text and gives ``(text, raw_label, start, end, cui, canonical, score)`` tuples.
 Recognizer = Callable[[str], list[tuple]]
+_made: dict[str, Callable | None] = {}
+
+
+class PerWorker:
+    """A model that every worker process makes for itself, once, by ``factory``; only the factory travels with the job.
+
+    Stands for any callable seam (recogniser, extractor, embedder). Where the factory fails, as when a model or its
+    library isn't there, ``missing`` is what calls give; None raises.
+    """
+
+    def __init__(self, factory: Callable[[], Callable], name: str, missing: Callable | None = None):
+        self.factory, self.name, self.missing = factory, name, missing
+
+    def __call__(self, *args):
+        if self.name not in _made:
+            try:
+                _made[self.name] = self.factory()
+            except Exception:  # noqa: BLE001 - any reason why a model can't be had
+                if self.missing is None:
+                    raise
+                _made[self.name] = None
+        model = _made[self.name]
+        return self.missing(*args) if model is None else model(*args)
 SPAN = "text string, raw_label string, start_char int, end_char int, umls_cui string, canonical_name string, score double"
 
 
@@ -49,11 +72,20 @@ class Gazetteer:
 
 
 def recognize(chunks: DataFrame, recognizer: Recognizer, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """``(key, pass fields of SPAN)``: the spans of each text, by a pluggable recogniser made once per worker."""
+    """``(key, pass fields of SPAN)``: the spans of each text, by a pluggable recogniser.
+
+    A text on which the recogniser fails has no spans. A recogniser that is costly to make comes as :class:`PerWorker`.
+    """
+
+    def spans(value: str) -> list[tuple]:
+        try:
+            return recognizer(value)
+        except Exception:  # noqa: BLE001 - a model that fails on a text says nothing of it
+            return []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, *s) for k, t in zip(pdf[key], pdf[text]) if isinstance(t, str) for s in recognizer(t)]
+            rows = [(k, *s) for k, t in zip(pdf[key], pdf[text]) if isinstance(t, str) for s in spans(t)]
             yield pd.DataFrame(rows, columns=[key, "text", "raw_label", "start_char", "end_char", "umls_cui", "canonical_name", "score"])
 
     return chunks.select(key, text).mapInPandas(run, f"{key} {chunks.schema[key].dataType.simpleString()}, {SPAN}")

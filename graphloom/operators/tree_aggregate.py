@@ -2,9 +2,10 @@
 
 Method: multi-level tree aggregation. Input rows are combined in fixed-size chunks where they lie, giving one small
 mergeable state per (key, chunk); the states then meet in rounds of bounded fan-in, each round keyed by the key *and* a
-node number that shrinks by ``fan_in``. The states of one key are spread over the cluster in every round but the last,
-and no task ever receives more than ``fan_in`` states of a key from one round (chunks beyond ``fan_in ** levels`` share
-leaf nodes evenly), whatever share of the rows the key has.
+node number that shrinks by ``fan_in``. The rounds follow from the chunks, which are counted first: as many as it takes for
+``fan_in`` to the power of the rounds to reach their number. So the states of one key are spread over the cluster in
+every round but the last, and a node receives about ``fan_in`` of them, whatever share of the rows the key has and
+however many rows there are.
 """
 
 from __future__ import annotations
@@ -53,22 +54,43 @@ def mean(name: str, of: Column) -> Measure:
     return Measure(name, {s: F.sum(of), n: F.count(of)}, {s: "sum", n: "sum"}, F.when(F.col(n) > 0, F.col(s) / F.col(n)))
 
 
-def tree_aggregate(df: DataFrame, keys: list[str], measures: list[Measure], chunk_rows: int = 65_536, fan_in: int = 16, levels: int = 3) -> DataFrame:
+def distinct(name: str, of: Column) -> Measure:
+    """Approximate number of different values that aren't null, from mergeable sketches of 4,096 registers (1.6 % off)."""
+    s = f"__{name}_h"
+    return Measure(name, {s: F.hll_sketch_agg(of)}, {s: "hll_union_agg"}, F.hll_sketch_estimate(s))
+
+
+def rounds_for(chunks: int, fan_in: int) -> int:
+    """The least number of rounds with ``fan_in ** rounds >= chunks``, 1 at least."""
+    rounds, leaves = 1, fan_in
+    while leaves < chunks:
+        rounds, leaves = rounds + 1, leaves * fan_in
+    return rounds
+
+
+def chunk_count(df: DataFrame, chunk_rows: int) -> int:
+    """Chunks of the table as it is partitioned; a job that reads no columns."""
+    sizes = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.sum(F.ceil(F.col("n") / chunk_rows))).first()[0] or 1
+
+
+def tree_aggregate(df: DataFrame, keys: list[str], measures: list[Measure], chunk_rows: int = 65_536, fan_in: int = 16, rounds: int | None = None) -> DataFrame:
     """One row per distinct value of ``keys`` with the measures.
 
     Null keys form a group of their own, as in SQL; repeated rows count as often as they come; an empty table gives no
     rows; columns that aren't used don't matter, and a measure may have the name of one. Only states are shuffled:
-    the first exchange is preceded by the map-side combination of each chunk.
+    the first exchange is preceded by the map-side combination of each chunk. ``rounds`` are counted unless given.
     """
+    rounds = rounds_for(chunk_count(df, chunk_rows), fan_in) if rounds is None else rounds
     merges = {state: how for m in measures for state, how in m.merge.items()}
     position = F.monotonically_increasing_id()  # partition number above bit 33, row number below
     chunk = F.xxhash64(F.shiftright(position, 33), F.floor(position.bitwiseAND((1 << 33) - 1) / chunk_rows))
     states = (
-        df.withColumn("__node", F.pmod(chunk, F.lit(fan_in**levels)))
+        df.withColumn("__node", F.pmod(chunk, F.lit(fan_in**rounds)))
         .groupBy(*keys, "__node")
         .agg(*[c.alias(state) for m in measures for state, c in m.leaf.items()])
     )
-    for _ in range(levels - 1):
+    for _ in range(rounds - 1):
         states = (
             states.withColumn("__node", F.floor(F.col("__node") / fan_in))
             .groupBy(*keys, "__node")

@@ -53,20 +53,26 @@ def upsert_mentions(events: DataFrame) -> DataFrame:
     return events.groupBy("label", "name", "chunk_id").agg(F.count(F.lit(1)).alias("count"))
 
 
-def upsert_edges(assertions: DataFrame, order: tuple[str, ...] = ("chunk_id", "seq")) -> DataFrame:
-    """Per edge: assertions counted, also repeated ones of one chunk, and distinct chunks in order of first sight.
-
-    First combined per (edge, chunk), so that an edge asserted very often in few chunks keeps a small state.
-    """
+def upsert_evidence(assertions: DataFrame) -> DataFrame:
+    """``n`` assertions of each (edge, chunk), also repeated ones; an unknown type is the fallback."""
     rows = assertions.withColumn("rel_type", relation_or_fallback(F.col("rel_type")))
-    by_chunk = rows.groupBy(*EDGE, "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first"))
-    grouped = by_chunk.groupBy(*EDGE).agg(F.sum("n").alias("evidence_count"), F.array_sort(F.collect_list(F.struct("first", "chunk_id"))).alias("s"))
-    return grouped.select(*EDGE, "evidence_count", F.transform("s", lambda x: x["chunk_id"]).alias("source_chunk_ids"))
+    return rows.groupBy(*EDGE, "chunk_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def edges_of(evidence: DataFrame) -> DataFrame:
+    """Per edge its assertions, counted from unique (edge, chunk) rows."""
+    return evidence.groupBy(*EDGE).agg(F.sum("n").alias("evidence_count"))
+
+
+def with_chunk_ids(edges: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The edges with ``source_chunk_ids``, the sorted ids of their chunks: for edges whose lists fit a row."""
+    ids = evidence.groupBy(*EDGE).agg(F.array_sort(F.collect_set("chunk_id")).alias("source_chunk_ids"))
+    return edges.join(ids, list(EDGE), "left")
 
 
 def overwrite_confidence(edges: DataFrame, updates: DataFrame) -> DataFrame:
-    """Counts, chunks and interval of the edges in ``updates`` replaced; edges that don't exist aren't made."""
-    fields = ("evidence_count", "source_chunk_ids", "confidence_lower", "confidence_upper")
+    """Count and interval of the edges in ``updates`` replaced; edges that don't exist aren't made."""
+    fields = ("evidence_count", "confidence_lower", "confidence_upper")
     new = updates.select(*EDGE, F.struct(*fields).alias("__new"))
     joined = edges.join(new, list(EDGE), "left")
     kept = [F.when(F.col("__new").isNotNull(), F.col("__new")[c]).otherwise(F.col(c) if c in edges.columns else F.lit(None)).alias(c) for c in fields]
@@ -81,7 +87,7 @@ def set_embeddings(nodes: DataFrame, vectors: DataFrame, keys: list[str]) -> Dat
 
 
 def pending_chunks(chunks: DataFrame, done: DataFrame) -> DataFrame:
-    """Chunks that no edge of the processed set touches."""
+    """Chunks that aren't among ``done (chunk_id)``: the chunks that the graph of an earlier run has, with or without mentions."""
     return chunks.join(done.select("chunk_id").distinct(), "chunk_id", "left_anti")
 
 
@@ -107,17 +113,28 @@ def build_events(extracted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     return named.drop("chunk_id").unionByName(ends[0]).unionByName(ends[1]), named.select("label", "name", "chunk_id"), edges
 
 
+def summed_evidence(evidence: DataFrame) -> DataFrame:
+    """Rows of one (edge, chunk) in one."""
+    return evidence.groupBy(*EDGE, "chunk_id").agg(F.sum("n").alias("n"))
+
+
 def merged(old: KnowledgeGraph, new: KnowledgeGraph) -> KnowledgeGraph:
-    """Two graphs of different chunks in one: keys unite, counts add up, chunk ids and aliases become sorted unions."""
+    """Two graphs of different chunks in one: keys unite, counts add up and aliases become sorted unions.
+
+    A paper of both keeps the new title unless it is empty, and the first doi and year that are known.
+    """
     none = F.array().cast("array<string>")
-    both = {t: getattr(old, t).unionByName(getattr(new, t), allowMissingColumns=True) for t in ("papers", "chunks", "entities", "mentions", "edges")}
+    both = {t: getattr(old, t).unionByName(getattr(new, t), allowMissingColumns=True) for t in ("entities", "mentions", "evidence")}
     aliases = both["entities"].select("label", "name", "umls_cui", F.explode_outer(F.coalesce("aliases", none)).alias("alias"))
-    ids = both["edges"].select(*EDGE, F.explode("source_chunk_ids").alias("id")).groupBy(*EDGE).agg(F.array_sort(F.collect_set("id")).alias("source_chunk_ids"))
-    counts = both["edges"].groupBy(*EDGE).agg(F.sum("evidence_count").alias("evidence_count"))
+    evidence = summed_evidence(both["evidence"].select(*EDGE, "chunk_id", "n"))
+    rows = old.papers.withColumn("loaded_at", F.lit(0)).unionByName(new.papers.withColumn("loaded_at", F.lit(1)))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("loaded_at", c))).alias(c)
+    titles = upsert_papers(rows).select("paper_id", "title")
     return KnowledgeGraph(
-        both["papers"].dropDuplicates(["paper_id"]),
+        titles.join(rows.groupBy("paper_id").agg(first("doi"), first("year")), "paper_id"),
         new.chunks.unionByName(old.chunks.join(new.chunks.select("chunk_id"), "chunk_id", "left_anti"), allowMissingColumns=True),
         aliases.groupBy("label", "name").agg(F.array_sort(F.collect_set("alias")).alias("aliases"), F.max("umls_cui").alias("umls_cui")),
         both["mentions"].groupBy("label", "name", "chunk_id").agg(F.sum("count").alias("count")),
-        counts.join(ids, list(EDGE), "left"),
+        edges_of(evidence),
+        evidence,
     )

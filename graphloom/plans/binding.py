@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.config import RELATIONS
 from graphloom.graph import KnowledgeGraph
 from graphloom.operators import upserts
+from graphloom.plans.stage import staged
 from graphloom.sources.tables import first_delivery, table
 
 SPAN_COLUMNS = ["chunk_id", "text", "label", "raw_label", "start_char", "end_char", "umls_cui", "canonical_name"]
@@ -25,8 +27,10 @@ def spans(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def linked(spark: SparkSession, directory: str) -> DataFrame:
+    """The spans with a listed canonical name; only the columns that the graph needs are read."""
     names = table(spark, directory, "entities").select("label", F.col("name").alias("canonical_name")).distinct()
-    return spans(spark, directory).join(names, ["label", "canonical_name"], "left_semi")
+    once = first_delivery(table(spark, directory, "ner_entities"), "span_id", ["chunk_id", "label", "start_char", "canonical_name"])
+    return once.join(names, ["label", "canonical_name"], "left_semi")
 
 
 def assertions(named: DataFrame, name: str) -> DataFrame:
@@ -52,25 +56,37 @@ def chunks(spark: SparkSession, directory: str) -> DataFrame:
     return once.withColumn("paper_id", F.coalesce("paper_id", F.regexp_replace("chunk_id", "__[^_]*$", "")))
 
 
-def graph(spark: SparkSession, directory: str) -> KnowledgeGraph:
-    known = linked(spark, directory)
+def graph(spark: SparkSession, directory: str, known: DataFrame | None = None) -> KnowledgeGraph:
+    known = linked(spark, directory) if known is None else known
     mentions = upserts.upsert_mentions(known.select("label", F.col("canonical_name").alias("name"), "chunk_id"))
-    edges = upserts.upsert_edges(assertions(known, "canonical_name"))
+    evidence = upserts.upsert_evidence(assertions(known, "canonical_name"))
     entities = table(spark, directory, "entities").select("label", "name", "aliases", "umls_cui")
-    return KnowledgeGraph(papers(spark, directory), chunks(spark, directory), entities, mentions, edges)
+    return KnowledgeGraph(papers(spark, directory), chunks(spark, directory), entities, mentions, upserts.edges_of(evidence), evidence)
 
 
-def written(spark: SparkSession, directory: str) -> KnowledgeGraph:
-    """The graph of the spans as they are written, before any resolution."""
-    named = spans(spark, directory).where("label IS NOT NULL AND text IS NOT NULL")
+def staged_graph(spark: SparkSession, directory: str) -> KnowledgeGraph:
+    """The graph with its spans written out once and everything derived from them: for queries that read several tables."""
+    g = graph(spark, directory, staged(linked(spark, directory), "spans")).staged("mentions", "evidence")
+    return g.with_(edges=upserts.edges_of(g.evidence))
+
+
+def written(spark: SparkSession, directory: str, stage: bool = False) -> KnowledgeGraph:
+    """The graph of the spans as they are written, before any resolution; ``stage`` writes its spans and mentions out first."""
+    once = first_delivery(table(spark, directory, "ner_entities"), "span_id", ["chunk_id", "text", "label", "start_char"])
+    named = once.where("label IS NOT NULL AND text IS NOT NULL")
+    if stage:
+        named = staged(named, "spans")
     mentions = upserts.upsert_mentions(named.select("label", F.col("text").alias("name"), "chunk_id"))
+    if stage:
+        mentions = staged(mentions, "mentions")
     entities = mentions.select("label", "name").distinct().select("label", "name", F.array().cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("umls_cui"))
-    return KnowledgeGraph(papers(spark, directory), chunks(spark, directory), entities, mentions, upserts.upsert_edges(assertions(named, "text")))
+    evidence = upserts.upsert_evidence(assertions(named, "text"))
+    return KnowledgeGraph(papers(spark, directory), chunks(spark, directory), entities, mentions, upserts.edges_of(evidence), evidence)
 
 
-def noisy(spark: SparkSession, directory: str) -> KnowledgeGraph:
+def noisy(spark: SparkSession, directory: str, stage: bool = False) -> KnowledgeGraph:
     """The graph with the words of the papers' titles as further entities; short words are mentioned by first chunks."""
-    g = graph(spark, directory)
+    g = staged_graph(spark, directory) if stage else graph(spark, directory)
     titles = g.papers.select("paper_id", F.explode(F.split("title", r"\s+")).alias("name")).where("name <> ''")
     words = titles.select(F.lit("Mechanism").alias("label"), "name", F.array().cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("umls_cui")).distinct()
     short = titles.where(F.length("name") <= 6).select(F.lit("Mechanism").alias("label"), "name", F.format_string("%s__%04d", "paper_id", F.lit(0)).alias("chunk_id"))
@@ -86,7 +102,7 @@ def hubs(g: KnowledgeGraph, n: int) -> list[tuple[str, str]]:
 
 # -- the same in SQL ------------------------------------------------------------------------------------------------
 
-KNOWN = "'REGULATES','INHIBITS','ACTIVATES','TARGETS','BINDS','ASSOCIATED_WITH','PROMOTES','SUPPRESSES','INVOLVES','EXPRESSED_IN','MUTATED_IN'"
+KNOWN = ", ".join(f"'{r}'" for r in RELATIONS)
 S = "s AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY loaded_at NULLS LAST) AS rn FROM ner_entities WHERE span_id IS NOT NULL) WHERE rn = 1)"
 LK = f"{S}, lk AS (SELECT s.* FROM s WHERE EXISTS (SELECT 1 FROM entities e WHERE e.label = s.label AND e.name = s.canonical_name))"
 

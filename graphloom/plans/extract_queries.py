@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom import agent
 from graphloom.config import LABELS, RECOGNISED_LABELS, RELATIONS
 from graphloom.functions import stats
-from graphloom.operators import embed, extract, recognize
+from graphloom.operators import embed, extract, recognize, retrieve
 from graphloom.pipeline import Pipeline
 from graphloom.plans import binding as B
 from graphloom.plans.graph_queries import sql_ci
@@ -126,15 +126,30 @@ def hash_embed(s, d):
 def pipeline_build(s, d):
     """Documents to a refined graph with the offline recogniser and extractor; its edges."""
     documents = table(s, d, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("paper_id"), "text")
-    names = [(r["name"], r["label"]) for r in table(s, d, "entities").select("name", "label").limit(100_000).collect()]  # a fixed list
+    names = [(r["name"], r["label"]) for r in table(s, d, "entities").select("name", "label").collect()]  # a fixed list of 1,400
     made = Pipeline(recognize.Gazetteer(names))
     papers = documents.select("paper_id", F.lit("").alias("title"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("int").alias("year"))
-    return made.refined(made.build(documents, papers), table(s, d, "synonyms")).edges.drop("source_chunk_ids")
+    return made.refined(made.build(documents, papers), table(s, d, "synonyms")).edges
+
+
+def pipeline_fixture(s, d):
+    """A small text through the whole pipeline; the edges of the refined graph."""
+    documents = s.createDataFrame([("d1", "# T\n\n## A\nAlpha binds beta. Alpha meets gamma and beta.\n## B\nOnly gamma."), ("d2", "Alpha binds beta. Beta binds gamma."), ("d3", None)], "paper_id string, text string")
+    papers = documents.select("paper_id", F.lit("").alias("title"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("int").alias("year"))
+    made = Pipeline(recognize.Gazetteer([("alpha", "Gene"), ("beta", "DISEASE"), ("gamma", "Planet")]))
+    synonyms = s.createDataFrame([("gamma", "Gamma thing")], "alias string, canonical string")
+    return made.refined(made.build(documents, papers), synonyms).edges
+
+
+def evidence_ids(s, d):
+    """Ids of chunks in a trace of tool results, each at its first place."""
+    rows = [(2, 0, "p__0001"), (1, 0, "p__0002"), (1, 1, "no chunk"), (3, 0, "p__0002"), (1, 2, None), (3, 1, "q__0000"), (2, 1, "p__0001")]
+    return retrieve.evidence_ids(s.createDataFrame(rows, "seq int, pos int, id string"))
 
 
 def answer_offline(s, d):
     """The offline agent's answer to a question about the commonest entity."""
-    g = B.graph(s, d)
+    g = B.staged_graph(s, d)
     name = B.hubs(g, 1)[0][1]
     vectors = embed.embed(embed.chunk_texts(g.chunks)).select("key", "embedding")
     answer, evidence, record, trace = agent.ask(f"What is known about {name}?", agent.Toolbox(g, vectors))
@@ -162,6 +177,8 @@ def queries():
         "confidence_badge": confidence_badge,
         "hash_embed": hash_embed,
         "pipeline_build": pipeline_build,
+        "pipeline_fixture": pipeline_fixture,
+        "evidence_ids": evidence_ids,
         "answer_offline": answer_offline,
         "event_windows": event_windows,
     }
@@ -198,5 +215,9 @@ def oracle_sql():
             , k AS (SELECT vec_id, n, CASE WHEN n > 0 THEN CAST(round_even(p * n, 0) AS BIGINT) ELSE 0 END AS k FROM m), c AS (SELECT vec_id, {sql_ci('k', 'n')} FROM k) SELECT vec_id, confidence_lower AS lower, confidence_upper AS upper FROM c""",
         "validate_confidence": f"{CONF} SELECT event_id, score, label, least(lo, hi) AS lower_bound, greatest(lo, hi) AS upper_bound, rationale, evidence_count, contradictions FROM c",
         "confidence_badge": f"{CONF} SELECT event_id, CASE label WHEN 'High' THEN 'green' WHEN 'Low' THEN 'red' ELSE 'orange' END AS colour, score / 100.0 AS fraction, CASE WHEN lower(contradictions) <> 'none' THEN contradictions END AS contradictions FROM c",
+        "pipeline_fixture": """SELECT * FROM (VALUES ('Gene', 'Alpha', 'ASSOCIATED_WITH', 'Disease', 'beta', CAST(2 AS BIGINT), 1.0::DOUBLE, 1.0::DOUBLE),
+              ('Mechanism', 'Gamma thing', 'ASSOCIATED_WITH', 'Disease', 'beta', 1, 1.0, 1.0), ('Disease', 'beta', 'ASSOCIATED_WITH', 'Mechanism', 'Gamma thing', 1, 1.0, 1.0))
+            t(src_label, src_name, rel_type, tgt_label, tgt_name, evidence_count, confidence_lower, confidence_upper)""",
+        "evidence_ids": "SELECT * FROM (VALUES (1, 'p__0002'), (2, 'p__0001'), (3, 'q__0000')) t(pos, chunk_id)",
         "event_windows": "SELECT epoch_us(date_trunc('hour', ts)) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     }

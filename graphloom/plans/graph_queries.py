@@ -8,19 +8,20 @@ from graphloom.config import LABELS, PHRASES, STOPWORDS
 from graphloom.functions import stats
 from graphloom.functions import text as T
 from graphloom.graph import EDGE
-from graphloom.operators import clean_graph, confidence, embed, paths, resolve, retrieve, upserts
+from graphloom.operators import clean_graph, confidence, embed, paths, resolve, retrieve, upserts, vector_index
 from graphloom.plans import binding as B
 from graphloom.plans.text_queries import sql_strip, sql_words
+from graphloom.plans.stage import fresh_folder, staged
 from graphloom.sources.tables import table
 
 
 def edge_confidence(spark, d):
-    g = B.graph(spark, d).staged()
-    return confidence.edge_intervals(g.edges, g.mentions).drop("source_chunk_ids")
+    g = B.staged_graph(spark, d)
+    return confidence.edge_intervals(g.edges, g.mentions)
 
 
 def edge_confidence_wilson(spark, d):
-    g = B.graph(spark, d).staged()
+    g = B.staged_graph(spark, d)
     return confidence.edge_intervals(g.edges, g.mentions, boundary="wilson").select(*EDGE, "confidence_lower", "confidence_upper")
 
 
@@ -42,9 +43,9 @@ def resume_pending(spark, d):
 
 def overwrite_confidence(spark, d):
     """Intervals written back to the edges with more than one assertion."""
-    g = B.graph(spark, d)
+    g = B.staged_graph(spark, d)
     scored = confidence.edge_intervals(g.edges, g.mentions)
-    return upserts.overwrite_confidence(g.edges, scored.where("evidence_count > 1")).drop("source_chunk_ids")
+    return upserts.overwrite_confidence(g.edges, scored.where("evidence_count > 1"))
 
 
 def set_embedding(spark, d):
@@ -62,11 +63,12 @@ def resolve_normalized(spark, d):
 
 
 def resolved(spark, d):
-    return resolve.resolve(B.written(spark, d), table(spark, d, "synonyms"))
+    return resolve.resolve(B.written(spark, d, stage=True), table(spark, d, "synonyms"))
 
 
 def resolved_edges(spark, d):
-    return resolved(spark, d).edges.select(*EDGE, "evidence_count", F.size("source_chunk_ids").alias("n_chunks"))
+    g = resolved(spark, d)
+    return g.evidence.groupBy(*EDGE).agg(F.sum("n").alias("evidence_count"), F.count(F.lit(1)).cast("int").alias("n_chunks"))
 
 
 def resolved_mentions(spark, d):
@@ -99,7 +101,7 @@ def clean_self_loops(spark, d):
 
 
 def node_texts(spark, d):
-    g = B.graph(spark, d)
+    g = B.staged_graph(spark, d)
     return embed.entity_texts(g.entities, g.edges)
 
 
@@ -127,9 +129,34 @@ def rank_papers(spark, d):
     return retrieve.rank_papers(joined, _query_vector(spark, d)).select("paper_id", F.round("score", 6).alias("score"))
 
 
+def run_query(spark, d):
+    """A read-only query with parameters over the graph's tables."""
+    query = "SELECT rel_type, tgt_label, count(*) AS n, sum(evidence_count) AS evidence FROM edges WHERE src_label = :label AND evidence_count >= :least GROUP BY rel_type, tgt_label"
+    return B.graph(spark, d).run(query, label="Gene", least=2)
+
+
+def vector_index_search(spark, d):
+    """The stored vectors through their index, with all cells read: the same as without it."""
+    index = vector_index.VectorIndex.write(_vectors(spark, d), fresh_folder(spark, "index"))
+    return index.search(spark, _query_vector(spark, d), 10, label="Chunk", probes=len(index.centres)).select("key", F.round("score", 6).alias("score"))
+
+
+def _edges_with_chunks(g):
+    evidence = staged(g.evidence, "evidence")
+    return upserts.with_chunk_ids(upserts.edges_of(evidence), evidence)
+
+
+def knn_label(spark, d):
+    """The vectors of one label nearest to another one."""
+    e = table(spark, d, "embeddings").withColumn("label", F.col("label").cast("string"))
+    query = e.where("vec_id = 0").select("embedding").first()[0]
+    return embed.nearest(e, query, 10, "vec_id", label="3").select("vec_id", F.round("score", 6).alias("score"))
+
+
 def hybrid(expand):
     def query(spark, d):
-        found = retrieve.hybrid_search(B.graph(spark, d), _vectors(spark, d), _query_vector(spark, d), "Blinded", 5, expand)
+        g = B.staged_graph(spark, d) if expand else B.graph(spark, d)
+        found = retrieve.hybrid_search(g, _vectors(spark, d), _query_vector(spark, d), "Blinded", 5, expand)
         return found.select("pos", "chunk_id", "paper_id", "section", F.round("score", 6).alias("score"))
 
     return query
@@ -137,25 +164,24 @@ def hybrid(expand):
 
 def of_hub(make, n=1):
     def query(spark, d):
-        g = B.graph(spark, d)
+        g = B.staged_graph(spark, d)
         return make(g, *B.hubs(g, n))
 
     return query
 
 
 def scored(g):
-    g = g.staged()
     return g.with_(edges=confidence.edge_intervals(g.edges, g.mentions))
 
 
 def hop_distances(spark, d):
-    g = B.graph(spark, d)
+    g = B.staged_graph(spark, d)
     return paths.hop_distances(g.all_edges(), B.hubs(g, 1)[0], 3)
 
 
 def shortest_path(spark, d):
     """From the commonest entity to the last one of the list."""
-    g = B.graph(spark, d)
+    g = B.staged_graph(spark, d)
     last = g.mentions.groupBy("label", "name").agg(F.count(F.lit(1)).alias("n")).orderBy("n", F.desc("label"), F.desc("name")).first()
     return paths.shortest_path(g.all_edges(), B.hubs(g, 1)[0], (last["label"], last["name"]), 4)
 
@@ -182,7 +208,7 @@ def queries():
         "upsert_entities": lambda s, d: upsert_entities(s, d).withColumn("aliases", F.array_join("aliases", "|")),
         "upsert_entities_strict": lambda s, d: upsert_entities(s, d, True).withColumn("aliases", F.array_join("aliases", "|")),
         "upsert_mentions": on_graph(lambda g: g.mentions),
-        "upsert_edges": on_graph(lambda g: g.edges),
+        "upsert_edges": lambda s, d: _edges_with_chunks(B.graph(s, d)),
         "overwrite_confidence": overwrite_confidence,
         "set_embedding": set_embedding,
         "resume_pending": resume_pending,
@@ -196,11 +222,14 @@ def queries():
         "clean_trivial": clean_trivial,
         "clean_stopwords": clean_stopwords,
         "clean_self_loops": clean_self_loops,
-        "clean_stats": lambda s, d: clean_graph.clean_stats(B.noisy(s, d)),
+        "clean_stats": lambda s, d: clean_graph.clean_stats(B.noisy(s, d, stage=True)),
         "node_texts": node_texts,
         "chunk_texts": on_graph(lambda g: embed.chunk_texts(g.chunks)),
         "knn_vectors": knn_vectors,
         "knn_chunks": knn_chunks,
+        "knn_label": knn_label,
+        "run_query": run_query,
+        "vector_index_search": vector_index_search,
         "rank_papers": rank_papers,
         "entity_relationships": of_hub(lambda g, h: retrieve.relationships(g, *h)),
         "entity_relationships_strict": of_hub(lambda g, h: retrieve.relationships(g, *h, strict=True)),
@@ -303,6 +332,24 @@ HYBRID_OUT = "SELECT pos, chunk_id, paper_id, section, round(score, 6) AS score
 EXPL = "SELECT label, name FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY name) AS i FROM entities WHERE {hit}) WHERE i <= {n}"
 
 
+ALL_EDGES = """al AS (SELECT src_label AS a, src_name AS b, rel_type AS r, tgt_label AS c, tgt_name AS d FROM edg UNION ALL SELECT label, name, 'MENTIONED_IN', 'Chunk', chunk_id FROM men UNION ALL SELECT 'Chunk', chunk_id, 'FROM_PAPER', 'Paper', paper_id FROM chu JOIN pap USING (paper_id))
+, un AS (SELECT a, b, c, d, min(r) AS r FROM (SELECT a, b, r, c, d FROM al UNION ALL SELECT c, d, r, a, b FROM al) GROUP BY 1, 2, 3, 4)"""
+
+
+def sql_shortest_path(hops: int) -> str:
+    """The best path to every node of each distance in turn, as far as the last entity."""
+    levels = "".join(
+        f"""
+, l{i} AS (SELECT c AS label, d AS key, min({{'n': list_append(n, d), 'r': list_append(rs, r)}}) AS p FROM (SELECT label, key, p.n AS n, p.r AS rs FROM l{i - 1}) x JOIN un ON a = label AND b = key
+   WHERE {" AND ".join(f"NOT EXISTS (SELECT 1 FROM l{j} s WHERE s.label = c AND s.key = d)" for j in range(i))} GROUP BY 1, 2)"""
+        for i in range(1, hops + 1)
+    )
+    ends = " UNION ALL ".join(f"SELECT {i} AS i, l.p FROM l{i} l JOIN last ON last.label = l.label AND last.name = l.key" for i in range(1, hops + 1))
+    return f"""WITH {B.G}, {B.HUB}, last AS (SELECT label, name FROM men GROUP BY 1, 2 ORDER BY count(*), label DESC, name DESC LIMIT 1), {B.PAPERS}, {B.CHUNKS}, {ALL_EDGES}
+, l0 AS (SELECT label, name AS key, {{'n': [name], 'r': CAST([] AS VARCHAR[])}} AS p FROM hub WHERE i = 1){levels}
+SELECT p.n AS nodes, p.r AS rels FROM ({ends}) ORDER BY i LIMIT 1"""
+
+
 def oracle_sql():
     g, ch = f"WITH {B.G}", B.CHUNKS
     lo, hi = sql_wilson("k", "n")
@@ -344,6 +391,9 @@ def oracle_sql():
               || CASE WHEN len(aliases) > 0 THEN array_to_string(aliases[:5], ', ') ELSE 'none' END || '. ' || coalesce(c, 'No known relationships in graph.') AS text FROM entities LEFT JOIN c USING (label, name)""",
         "chunk_texts": f"WITH {ch} SELECT 'Chunk' AS label, chunk_id AS key, coalesce(section, '') || ' (from paper ' || coalesce(paper_id, '') || '): ' || coalesce(text, '')[:1800] AS text FROM chu",
         "knn_vectors": "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT vec_id, (1 + list_dot_product(e, v) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(v, v)))) / 2 AS score FROM e, q) SELECT vec_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 10",
+        "knn_label": "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label = 3), s AS (SELECT vec_id, (1 + list_dot_product(e, v) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(v, v)))) / 2 AS score FROM e, q) SELECT vec_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 10",
+        "run_query": f"{g} SELECT rel_type, tgt_label, count(*) AS n, CAST(sum(evidence_count) AS BIGINT) AS evidence FROM edg WHERE src_label = 'Gene' AND evidence_count >= 2 GROUP BY 1, 2",
+        "vector_index_search": f"WITH {VEC} SELECT key, round(score, 6) AS score FROM (SELECT * FROM sim ORDER BY score DESC, key LIMIT 10)",
         "knn_chunks": f"WITH {VEC} SELECT key, round(score, 6) AS score FROM (SELECT * FROM sim ORDER BY score DESC, key LIMIT 10)",
         "rank_papers": f"WITH {ch}, {VEC}, t AS (SELECT paper_id, score FROM sim JOIN chu ON chunk_id = key ORDER BY score DESC, key LIMIT 15), p AS (SELECT paper_id, max(score) AS m FROM t GROUP BY 1 ORDER BY m DESC, paper_id LIMIT 5) SELECT paper_id, round(m, 6) AS score FROM p",
         "entity_relationships": f"{g}, {B.HUB}, sco AS (SELECT {E5}, evidence_count, CAST(NULL AS DOUBLE) AS confidence_lower, CAST(NULL AS DOUBLE) AS confidence_upper FROM edg), {REL} SELECT * FROM rel",
@@ -360,6 +410,7 @@ def oracle_sql():
             , un AS (SELECT a, b, c, d FROM al UNION SELECT c, d, a, b FROM al)
             , bf AS (SELECT label, name AS key, 0 AS hops FROM hub WHERE i = 1 UNION SELECT c, d, hops + 1 FROM bf JOIN un ON a = label AND b = key WHERE hops < 3)
             SELECT label, key, CAST(min(hops) AS INT) AS hops FROM bf GROUP BY 1, 2""",
+        "shortest_path": sql_shortest_path(4),
         "graph_stats_nodes": f"WITH {B.PAPERS}, {ch}, n AS (SELECT 'Paper' AS label, count(*) AS n FROM pap UNION ALL SELECT 'Chunk', count(*) FROM chu UNION ALL SELECT label, count(*) FROM entities GROUP BY 1) SELECT l AS label, coalesce(n, 0) AS n FROM (SELECT unnest(['Paper', 'Chunk', {', '.join(repr(x) for x in LABELS)}]) AS l) LEFT JOIN n ON label = l",
         "graph_stats_edges": f"{g}, {B.PAPERS}, {ch} SELECT rel_type, count(*) AS n FROM edg GROUP BY 1 UNION ALL SELECT 'MENTIONED_IN', count(*) FROM men UNION ALL SELECT 'FROM_PAPER', count(*) FROM chu JOIN pap USING (paper_id)",
         "sidebar_totals": f"WITH {B.PAPERS}, {ch} SELECT (SELECT count(*) FROM pap) AS papers, (SELECT count(*) FROM chu) AS chunks, (SELECT count(*) FROM entities) AS entities",

@@ -64,12 +64,18 @@ def _delete(spark: SparkSession, folder: str) -> None:
 _open: list[list[str]] = []
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """``df`` written once to the shared folder and read back: no lineage, and it survives the loss of any executor."""
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the application's part of the shared folder; it goes like a staged table."""
     path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     for scope in _open:
         scope.append(path)
+    return path
+
+
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``df`` written once to the shared folder and read back: no lineage, and it survives the loss of any executor."""
+    spark = df.sparkSession
+    path = fresh_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -54,6 +54,6 @@ def convert(spark: SparkSession, directory: str, converters: list[Converter], pa
     return files.mapInPandas(run, "paper_id string, text string, error string")
 
 
-def write_markdown(documents: DataFrame, directory: str) -> None:
+def write_markdown(documents: DataFrame, directory: str, mode: str = "overwrite") -> None:
     """A folder per paper with one text file each; a distributed write that keeps the line ends."""
-    documents.select("paper_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy("paper_id").option("lineSep", "\n").text(directory)
+    documents.select("paper_id", F.col("text").alias("value")).write.mode(mode).partitionBy("paper_id").option("lineSep", "\n").text(directory)

@@ -45,6 +45,21 @@ def test_windows_at_the_edges(spark, n, pieces):
         assert rows[-1]["text"].split()[-1] == str(n - 1)
 
 
+def test_chunking_moves_no_text_and_numbers_long_documents(spark):
+    parts = ["intro"]
+    for i in range(700):
+        parts.append(f"## S{i}\n" + ("" if i % 50 == 7 else " ".join(["w"] * (1300 if i % 100 == 3 else 3))))
+    text = "\n".join(parts)
+    df = spark.createDataFrame([("p", text)], "paper_id string, text string").repartition(1)
+    out = chunking.chunks(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1 and "Window" not in plan
+    rows = out.orderBy("chunk_index").collect()
+    assert [r["chunk_index"] for r in rows] == list(range(len(rows))) and len(rows) == 1 + 700 - 14 + 2 * 7
+    assert all(text[r["char_offset"] :].startswith("## " + r["section"].partition(":")[0]) for r in rows[1:])
+    assert all(r["word_count"] == len(r["text"].split()) for r in rows)
+
+
 def test_sections(spark):
     text = "# H1\nbefore\n## Empty\n**Bold**\nbody one\n\n## Last\n"
     df = spark.createDataFrame([("p", text), ("empty", ""), ("null", None)], "paper_id string, text string")
