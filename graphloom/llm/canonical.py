@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -344,6 +345,17 @@ class Resolver:
         return self.known[label, text]
 
 
+_made: dict[str, Resolver] = {}
+
+
+def resolver_for(token: str, forms: list[tuple], common: dict[str, set[str]], rules: Conventions) -> Resolver:
+    """The resolver of this process for one list of forms, with the values it has seen; made by the first task."""
+    if token not in _made:
+        _made.clear()
+        _made[token] = Resolver(forms, common, rules)
+    return _made[token]
+
+
 def unlisted(df: DataFrame, entries: DataFrame, label: str = "label", name: str = "canonical_name") -> DataFrame:
     """The rows whose name is null or isn't exactly that of an entry of their label."""
     listed = entries.select(F.col("label").alias("__l"), F.col("name").alias("__n")).where("__l IS NOT NULL AND __n IS NOT NULL").distinct()
@@ -374,11 +386,11 @@ def map_values(
 
 def _mapped_by_one(rows: DataFrame, forms: DataFrame, common: dict[str, set[str]], rules: Conventions, key: str) -> DataFrame:
     listed = [tuple(r) for r in forms.select("label", "key", "rank", "name", "edits", "initial").collect()]  # at most MOST_FORMS
-    shared = rows.sparkSession.sparkContext.broadcast((listed, common, rules))
+    shared = rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, listed, common, rules))
     schema = StructType([StructField(key, rows.schema[key].dataType), StructField("name", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        resolver = Resolver(*shared.value)
+        resolver = resolver_for(*shared.value)
         for batch in batches:
             found = [resolver(l, t) for l, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=schema.names)

@@ -436,6 +436,15 @@ def test_budgets_go_to_siblings_first():
     assert got == pytest.approx({"s1": 10, "s2": 0, "s3": 90})
 
 
+def test_source_tree_comes_from_data(spark):
+    rows = [("a", "en")] * 19 + [("a", "de"), ("b", "fr"), ("b", "de"), (None, "en"), ("d", None)]
+    documents = spark.createDataFrame(rows, "source string, lang string")
+    targets = spark.createDataFrame([(s, 0.25, 1) for s in ("a", "b", "c", None)], "source string, target_share double, max_repeats int")
+    domains = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y")], "source string, domain string").limit(2)
+    got = {r["source"]: (r["domain"], r["language"]) for r in catalog.source_tree(documents, targets, domains).collect()}
+    assert got == {"a": ("x", "en"), "b": ("x", "many"), "c": ("c", "many"), None: (None, "many")}
+
+
 def test_mix(spark):
     rows = [(i, "some words here " * (i % 9 + 1), "big" if i % 3 else "small") for i in range(300)] + [(900, None, "big"), (901, "", "big"), (902, "x", None), (903, "x", "other"), (None, "x", "big"), (5, "some words here " * 6, "big")]
     targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.45, 2), ("gone", 0.05, 3), (None, None, None)], "source string, target_share double, max_repeats int")
