@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.plans.stage import staged
@@ -27,8 +27,12 @@ def adjacency(edges: DataFrame, types: tuple[str, ...] | None = None) -> DataFra
     return staged(out.unionByName(back), "steps")
 
 
-def _small(front: DataFrame) -> DataFrame:
-    return F.broadcast(front) if front.count() <= MOST_BROADCAST else front
+def _small(front: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(front) if size <= MOST_BROADCAST else front
+
+
+def _origin(spark: SparkSession, node: tuple[str, str], **more: Column) -> DataFrame:
+    return spark.range(1).select(F.lit(node[0]).alias("label"), F.lit(node[1]).alias("key"), *[c.alias(n) for n, c in more.items()])
 
 
 def hop_distances(edges: DataFrame, start: tuple[str, str], max_hops: int = 4, types: tuple[str, ...] | None = None, steps: DataFrame | None = None) -> DataFrame:
@@ -38,22 +42,23 @@ def hop_distances(edges: DataFrame, start: tuple[str, str], max_hops: int = 4, t
     """
     spark = edges.sparkSession
     steps = adjacency(edges, types) if steps is None else steps
-    found = [spark.createDataFrame([(*start, 0)], "label string, key string, hops int")]
-    front = found[0]
+    found = [_origin(spark, start, hops=F.lit(0))]
+    front, size = found[0], 1
     for hop in range(1, max_hops + 1):
         own = front.select(F.col("label").alias("a_label"), F.col("key").alias("a_key"))
-        after = steps.join(_small(own), ["a_label", "a_key"]).select(F.col("b_label").alias("label"), F.col("b_key").alias("key")).distinct()
+        after = steps.join(_small(own, size), ["a_label", "a_key"]).select(F.col("b_label").alias("label"), F.col("b_key").alias("key")).distinct()
         seen = reduce(DataFrame.unionByName, found[-2:]).select("label", "key")  # a neighbour is at most one hop nearer
         front = staged(after.join(seen, ["label", "key"], "left_anti").withColumn("hops", F.lit(hop)), "front")
-        if front.isEmpty():
+        size = front.count()
+        if not size:
             break
         found.append(front)
     return reduce(DataFrame.unionByName, found)
 
 
-def _extended(front: DataFrame, steps: DataFrame, seen: list[DataFrame], forward: bool) -> DataFrame:
+def _extended(front: DataFrame, size: int, steps: DataFrame, seen: list[DataFrame], forward: bool) -> DataFrame:
     """The best path to each node one step beyond a frontier that ``seen``, the last two frontiers, doesn't hold."""
-    after = steps.join(_small(front.select(F.col("label").alias("a_label"), F.col("key").alias("a_key"), "nodes", "rels")), ["a_label", "a_key"])
+    after = steps.join(_small(front.select(F.col("label").alias("a_label"), F.col("key").alias("a_key"), "nodes", "rels"), size), ["a_label", "a_key"])
     node, rel = F.array("b_key"), F.array("rel_type")
     path = F.struct(F.concat("nodes", node).alias("nodes"), F.concat("rels", rel).alias("rels")) if forward else F.struct(F.concat(node, "nodes").alias("nodes"), F.concat(rel, "rels").alias("rels"))
     best = after.groupBy(F.col("b_label").alias("label"), F.col("b_key").alias("key")).agg(F.min(path).alias("p"))
@@ -70,16 +75,15 @@ def shortest_path(edges: DataFrame, start: tuple[str, str], end: tuple[str, str]
     enough, as paths through a node are compared by their part before it and then by the rest.
     """
     spark = edges.sparkSession
-    schema = "label string, key string, nodes array<string>, rels array<string>"
     none = spark.createDataFrame([], "nodes array<string>, rels array<string>")
     if start == end:
         return none
     steps = adjacency(edges, types) if steps is None else steps
-    sides = [[spark.createDataFrame([(*node, [node[1]], [])], schema)] for node in (start, end)]
+    sides = [[_origin(spark, node, nodes=F.array(F.lit(node[1])), rels=F.array().cast("array<string>"))] for node in (start, end)]
     sizes = [1, 1]
     for _ in range(max_hops):
         side = 0 if sizes[0] <= sizes[1] else 1
-        front = _extended(sides[side][-1], steps, sides[side][-2:], side == 0)
+        front = _extended(sides[side][-1], sizes[side], steps, sides[side][-2:], side == 0)
         sizes[side] = front.count()
         if not sizes[side]:
             return none

@@ -180,10 +180,11 @@ def hop_distances(spark, d):
 
 
 def shortest_path(spark, d):
-    """From the commonest entity to the last one of the list."""
+    """Between two of the rarest entities, the first one by name and the last one."""
     g = B.staged_graph(spark, d)
-    last = g.mentions.groupBy("label", "name").agg(F.count(F.lit(1)).alias("n")).orderBy("n", F.desc("label"), F.desc("name")).first()
-    return paths.shortest_path(g.all_edges(), B.hubs(g, 1)[0], (last["label"], last["name"]), 4)
+    counts = g.mentions.groupBy("label", "name").agg(F.count(F.lit(1)).alias("n"))
+    first, last = counts.orderBy("n", "label", "name").first(), counts.orderBy("n", F.desc("label"), F.desc("name")).first()
+    return paths.shortest_path(g.all_edges(), (first["label"], first["name"]), (last["label"], last["name"]), 4)
 
 
 def _evidence(g):
@@ -345,8 +346,8 @@ def sql_shortest_path(hops: int) -> str:
         for i in range(1, hops + 1)
     )
     ends = " UNION ALL ".join(f"SELECT {i} AS i, l.p FROM l{i} l JOIN last ON last.label = l.label AND last.name = l.key" for i in range(1, hops + 1))
-    return f"""WITH {B.G}, {B.HUB}, last AS (SELECT label, name FROM men GROUP BY 1, 2 ORDER BY count(*), label DESC, name DESC LIMIT 1), {B.PAPERS}, {B.CHUNKS}, {ALL_EDGES}
-, l0 AS (SELECT label, name AS key, {{'n': [name], 'r': CAST([] AS VARCHAR[])}} AS p FROM hub WHERE i = 1){levels}
+    return f"""WITH {B.G}, fst AS (SELECT label, name FROM men GROUP BY 1, 2 ORDER BY count(*), label, name LIMIT 1), last AS (SELECT label, name FROM men GROUP BY 1, 2 ORDER BY count(*), label DESC, name DESC LIMIT 1), {B.PAPERS}, {B.CHUNKS}, {ALL_EDGES}
+, l0 AS (SELECT label, name AS key, {{'n': [name], 'r': CAST([] AS VARCHAR[])}} AS p FROM fst){levels}
 SELECT p.n AS nodes, p.r AS rels FROM ({ends}) ORDER BY i LIMIT 1"""
 
 
