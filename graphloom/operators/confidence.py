@@ -2,41 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import stats
 from graphloom.graph import EDGE
-from graphloom.plans.stage import staged
+from graphloom.plans.stage import not_broadcast, staged
 
-#: Endpoint pairs up to this number are broadcast (16 MB); more are joined.
-MOST_BROADCAST = 1_000_000
+#: Words of 64 bits of the filter of pairs (8 MB at most), and bits a pair while that suffices; more pairs pass more of the others.
+MOST_WORDS, BITS_A_PAIR = 1 << 20, 16
 PAIR = ("src_label", "src_name", "tgt_label", "tgt_name")
 
 
+def _places(lo: Column, hi: Column, words: int) -> list[tuple[Column, Column]]:
+    """``(word, bit)`` of a pair of hashes in the filter, twice; names are hashed already, so their bits only need mixing."""
+    unsigned = F.shiftrightunsigned
+    one = lo.bitwiseXOR(unsigned(hi, 5))
+    two = unsigned(lo, 21).bitwiseXOR(unsigned(hi, 13))
+    return [(h.bitwiseAND(words - 1).cast("int"), unsigned(h, 28).bitwiseAND(63).cast("int")) for h in (one, two)]
+
+
+def _filter(pairs: DataFrame, words: int) -> Column:
+    """The words of a Bloom filter of the pairs ``(lo, hi)`` as an array: a scalar of the query, made by its executors."""
+    places = F.explode(F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in _places(F.col("lo"), F.col("hi"), words)]))
+    marks = pairs.select(places.alias("p")).groupBy(F.col("p.word").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p.bit"))).alias("mask"))
+    every = pairs.sparkSession.range(words).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("mask")).unionByName(marks)
+    dense = every.groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    return dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "mask"))), lambda x: x["mask"]).alias("words")).scalar()
+
+
+def _hashed(edges: DataFrame) -> DataFrame:
+    """The edges with the hashes ``lo`` and ``hi`` of their endpoints: equal for a loop, null where a part of one is null."""
+    a, b = F.xxhash64("src_label", "src_name"), F.xxhash64("tgt_label", "tgt_name")
+    known = F.expr(" AND ".join(f"{c} IS NOT NULL" for c in PAIR))
+    return edges.withColumns({"lo": F.when(known, F.least(a, b)), "hi": F.when(known, F.greatest(a, b))})
+
+
+def _counts(hashed: DataFrame, mentions: DataFrame) -> DataFrame:
+    """``(lo, hi, n_chunks)`` for the pairs of :func:`_hashed` edges that a chunk mentions, and for some others."""
+    pairs = staged(hashed.where("lo < hi").select("lo", "hi").distinct(), "pairs")
+    n_pairs, words = pairs.count(), 1
+    while words < MOST_WORDS and words * 64 < BITS_A_PAIR * n_pairs:
+        words *= 2
+    of_chunk = mentions.select(F.xxhash64("label", "name").alias("a"), "chunk_id").groupBy("chunk_id").agg(F.collect_set("a").alias("all"))  # of one chunk
+    both = of_chunk.select(F.explode("all").alias("lo"), "all").select("lo", F.explode("all").alias("hi")).where("lo < hi")
+    asked = _filter(pairs, words)
+    for word, bit in _places(F.col("lo"), F.col("hi"), words):
+        both = both.where(F.getbit(F.get(asked, word), bit) == 1)
+    return not_broadcast(both.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n_chunks")))
+
+
 def comention_counts(edges: DataFrame, mentions: DataFrame) -> DataFrame:
     """Chunks that mention both endpoints, for each distinct endpoint pair of the edges; none for a loop.
 
-    A pair belongs to its rarer endpoint: each mention of that one looks the other up among the entities of its own
-    chunk, so an entity of very many chunks costs no more than its partners do, and nothing is shuffled before the
-    counts while the pairs are few enough to be broadcast. Names are 64-bit hashes meanwhile.
+    Each chunk makes the pairs of its entities, of which those are shuffled, counted already, that pass a Bloom filter
+    of the edges' pairs; a join then tells the few that aren't among them. So the driver holds a filter of some MB and
+    no pairs, however many there are. Names are 64-bit hashes meanwhile.
     """
-    pairs = edges.where("NOT (src_label = tgt_label AND src_name = tgt_name)").select(*PAIR).distinct()
-    pairs = pairs.select(*PAIR, F.xxhash64("src_label", "src_name").alias("a"), F.xxhash64("tgt_label", "tgt_name").alias("b"))
-    pairs = staged(pairs, "pairs")
-    of_chunk = mentions.select(F.xxhash64("label", "name").alias("a"), "chunk_id").groupBy("chunk_id").agg(F.collect_set("a").alias("all"))  # of one chunk
-    of_chunk = staged(of_chunk, "together")
-    once = of_chunk.select(F.explode("all").alias("a"), "all")
-    n = once.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    asked = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()  # one way round
-    counted = asked.join(n, "a").join(n.select(F.col("a").alias("b"), F.col("n").alias("m")), "b")  # both are mentioned
-    rarer = F.col("n") <= F.col("m")
-    owned = staged(counted.select(F.when(rarer, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(rarer, F.col("b")).otherwise(F.col("a")).alias("other")), "owned")
-    few = owned.count() <= MOST_BROADCAST
-    both = once.join(F.broadcast(owned) if few else owned, "a").where(F.array_contains("all", F.col("other")))
-    counts = both.groupBy(F.least("a", "other").alias("lo"), F.greatest("a", "other").alias("hi")).agg(F.count(F.lit(1)).alias("n_chunks"))
-    joined = pairs.join(counts, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")))
-    return joined.select(*PAIR, "n_chunks")
+    hashed = _hashed(edges.select(*PAIR).distinct())
+    return hashed.join(_counts(hashed, mentions), ["lo", "hi"]).select(*PAIR, "n_chunks")
 
 
 def edge_intervals(edges: DataFrame, mentions: DataFrame, alpha: float = 0.05, boundary: str = "certain") -> DataFrame:
@@ -45,7 +69,8 @@ def edge_intervals(edges: DataFrame, mentions: DataFrame, alpha: float = 0.05, b
     ``k`` is the evidence count, 1 for 0; ``n`` the chunks that mention both endpoints, at least ``k``.
     """
     counted = edges.where("evidence_count IS NOT NULL").drop("confidence_lower", "confidence_upper")
-    joined = counted.join(comention_counts(counted, mentions), list(PAIR), "left")
+    hashed = _hashed(counted)
+    joined = hashed.join(_counts(hashed, mentions), ["lo", "hi"], "left")
     k = F.when(F.col("evidence_count") == 0, F.lit(1)).otherwise(F.col("evidence_count")).cast("long")
     joined = joined.withColumn("k", k).withColumn("n", F.greatest(F.coalesce("n_chunks", F.lit(0)), "k"))
     ci = stats.wilson(F.col("k"), F.col("n"), alpha, boundary)

@@ -9,7 +9,7 @@ from graphloom.config import SYNONYMS
 from graphloom.functions import text as T
 from graphloom.graph import KnowledgeGraph
 from graphloom.operators import upserts
-from graphloom.plans.stage import staged
+from graphloom.plans.stage import not_broadcast, staged
 
 
 def default_synonyms(spark: SparkSession) -> DataFrame:
@@ -34,9 +34,9 @@ def normal_map(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     Canonical is the one mentioned in most chunks; of equals the last name. ``mentions`` may hold a chunk repeatedly.
     """
     n = mentions.groupBy("label", "name").agg(F.count_distinct("chunk_id").alias("n"))
-    keyed = entities.select("label", "name").distinct().join(n, ["label", "name"], "left").select("label", "name", T.normal_name(F.col("name")).alias("__norm"), F.coalesce("n", F.lit(0)).alias("n"))
+    keyed = entities.select("label", "name").distinct().join(not_broadcast(n), ["label", "name"], "left").select("label", "name", T.normal_name(F.col("name")).alias("__norm"), F.coalesce("n", F.lit(0)).alias("n"))
     best = keyed.groupBy("label", "__norm").agg(F.max_by("name", F.struct("n", "name")).alias("canonical"))
-    return keyed.join(best, ["label", "__norm"]).where("name <> canonical").select("label", "name", "canonical")
+    return keyed.join(not_broadcast(best), ["label", "__norm"]).where("name <> canonical").select("label", "name", "canonical")
 
 
 def rename(graph: KnowledgeGraph, mapping: DataFrame) -> KnowledgeGraph:
@@ -68,10 +68,10 @@ def name_map(graph: KnowledgeGraph, synonyms: DataFrame) -> DataFrame:
     The second pass sees what the first one makes of entities and mentions, but only its names: mentions and evidence
     are keyed anew once, by both maps in one. Neither pass needs a closure, as each maps a name once.
     """
-    first = staged(synonym_map(graph.entities, synonyms), "synonyms")
+    first = not_broadcast(staged(synonym_map(graph.entities, synonyms), "synonyms"))
     to = first.withColumnRenamed("canonical", "__c")
     renamed = lambda df: df.join(to, ["label", "name"], "left").select("label", F.coalesce("__c", "name").alias("name"), *[c for c in df.columns if c not in ("label", "name")])
-    second = staged(normal_map(renamed(graph.entities.select("label", "name")), renamed(graph.mentions.select("label", "name", "chunk_id"))), "normal")
+    second = not_broadcast(staged(normal_map(renamed(graph.entities.select("label", "name")), renamed(graph.mentions.select("label", "name", "chunk_id"))), "normal"))
     last = second.select("label", F.col("name").alias("__n"), F.col("canonical").alias("__l"))
     names = graph.entities.select("label", "name").distinct().join(to, ["label", "name"], "left").withColumn("__n", F.coalesce("__c", "name")).join(last, ["label", "__n"], "left")
     mapped = names.where("__c IS NOT NULL OR __l IS NOT NULL")
@@ -81,6 +81,6 @@ def name_map(graph: KnowledgeGraph, synonyms: DataFrame) -> DataFrame:
 def resolve(graph: KnowledgeGraph, synonyms: DataFrame) -> KnowledgeGraph:
     """Known synonyms, then normal forms; runs jobs, as the maps and what they make are written out."""
     graph = graph.staged("entities", "mentions", "evidence")
-    mapping = staged(name_map(graph, synonyms), "names")
+    mapping = not_broadcast(staged(name_map(graph, synonyms), "names"))
     made = rename(graph, mapping).staged("entities", "mentions", "evidence")
     return made.with_(edges=staged(upserts.edges_of(made.evidence), "edges"))

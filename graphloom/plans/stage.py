@@ -80,6 +80,15 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def not_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` for joins that must not broadcast it.
+
+    Spark goes by the size of a staged table's files, and of what is made from it: packed names have a tenth of the
+    size, or less, that they take in the driver's memory when they are broadcast.
+    """
+    return df.hint("merge")
+
+
 def drop_staged(*tables: DataFrame) -> None:
     """Delete the files of :func:`staged` tables that nothing reads any more."""
     for df in tables:

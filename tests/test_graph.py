@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from graphloom.graph import EDGE, KnowledgeGraph
 from graphloom.operators import clean_graph, confidence, embed, extract, paths, recognize, resolve, retrieve, upserts, vector_index
 from graphloom.operators.tree_aggregate import chunk_count, count, distinct, greatest, heavy_keys, least, mean, rounds_for, total, tree_aggregate
 from graphloom.pipeline import Pipeline
+from graphloom.plans import binding
 from graphloom.plans.stage import drop_staged, only_kept, staged
 from graphloom.sources.markdown import convert, read_markdown
 from graphloom.streaming.incremental import mentions, stream_mentions
@@ -317,3 +320,38 @@ def test_overwritten_intervals_and_vectors(spark):
     nodes = spark.createDataFrame([("x",), ("y",)], "key string")
     vectors = spark.createDataFrame([("x", [1.0])], "key string, embedding array<float>")
     assert {r["key"]: r["embedding"] for r in upserts.set_embeddings(nodes, vectors, ["key"]).collect()} == {"x": [1.0], "y": None}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [confidence.MOST_WORDS, 1])
+def test_comentions_of_many_pairs_are_counted_without_a_broadcast_of_pairs(spark, monkeypatch, most):
+    """Also where the filter is too small for its pairs and lets most others pass; an entity may be in all chunks or in none."""
+    monkeypatch.setattr(confidence, "MOST_WORDS", most)
+    draw = random.Random(3)
+    names = [f"n{i}" for i in range(40)]
+    chunks = {f"c{i}": {"n0", *draw.sample(names, draw.randint(1, 12))} for i in range(200)}
+    pairs = {(draw.choice(names), draw.choice([*names, "absent"])) for _ in range(500)}
+    mentions = spark.createDataFrame([("Gene", n, c) for c, all_ in chunks.items() for n in all_], "label string, name string, chunk_id string")
+    edges = spark.createDataFrame([("Gene", a, "BINDS", "Gene", b) for a, b in pairs], "src_label string, src_name string, rel_type string, tgt_label string, tgt_name string")
+    counts = confidence.comention_counts(edges, mentions.unionByName(mentions))
+    assert "Broadcast" not in _plan(counts)
+    want = {(a, b): n for a, b in pairs if a != b and (n := sum(a in c and b in c for c in chunks.values()))}
+    assert {(r["src_name"], r["tgt_name"]): r["n_chunks"] for r in counts.collect()} == want
+
+
+def test_comentions_without_pairs_or_mentions(spark):
+    edges = spark.createDataFrame([("Gene", "a", "BINDS", "Gene", "b")], "src_label string, src_name string, rel_type string, tgt_label string, tgt_name string")
+    mentions = spark.createDataFrame([("Gene", "a", "c"), ("Gene", "b", "c")], "label string, name string, chunk_id string")
+    assert confidence.comention_counts(edges.limit(0), mentions).count() == 0
+    assert confidence.comention_counts(edges, mentions.limit(0)).count() == 0
+    assert [r["n_chunks"] for r in confidence.comention_counts(edges, mentions).collect()] == [1]
+
+
+def test_resolution_broadcasts_no_names(spark, data):
+    """The files of staged names say little about their size in the driver's memory."""
+    g = binding.written(spark, data, stage=True)
+    mapping = resolve.name_map(g, spark.createDataFrame([("a", "b")], "alias string, canonical string"))
+    assert "Broadcast" not in _plan(mapping)
