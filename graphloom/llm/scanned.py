@@ -12,14 +12,16 @@ What is left is joined: a word broken at a line's end loses the hyphen unless th
 that the corpus hardly has are read again by the confusions of recognition.
 
 The vocabulary counts the words of all chunks; the words that come LEAST_COUNT times are broadcast, of more than
-``MOST_WORDS`` the commonest. Everything else moves only for chunks whose lines break within sentences.
+``MOST_WORDS`` the commonest. The others come to the texts that ask for them by a join: whatever a text looks up has the
+strokes of one of its forms, so the words of those strokes (``place_of``) are all that it needs, and where words are held changes no
+result. Everything else moves only for chunks whose lines break within sentences.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from graphloom.plans.stage import staged
+from graphloom.plans.stage import not_broadcast, staged
 
 #: Bound of the broadcast vocabulary (some 100 MB a worker), least count of a word in it, and how much commoner the right word must be.
 MOST_WORDS, LEAST_COUNT, RATIO = 1_000_000, 4, 30
@@ -308,6 +310,67 @@ class Reader:
             found.append((kind, item))
 
 
+class _Either:
+    """What is in one of two sets."""
+
+    def __init__(self, one: set[str], other: set[str]):
+        self.one, self.other = one, other
+
+    def __contains__(self, x: str) -> bool:
+        return x in self.one or x in self.other
+
+
+class ReaderOfText(Reader):
+    """A reader for one text, with the words ``(word, n, only names have it)`` that the common one doesn't hold."""
+
+    def __init__(self, common: Reader, more: list[dict]):
+        super().__init__({r["word"]: r["n"] for r in more})
+        self.common, self.rarer = common, self.alike
+        self.count = ChainMap(self.count, common.count)
+        self.names = _Either({r["word"] for r in more if r["name"]}, common.names)
+        self.alike = ChainMap({k: [*common.alike.get(k, ()), *v] for k, v in self.rarer.items()}, common.alike)
+        self.own = {r["word"].translate(STROKES) for r in more}
+
+    def right(self, word: str) -> str | None:
+        return super().right(word) if word.translate(STROKES) in self.own else self.common.right(word)
+
+
+def place_of(word: str) -> str:
+    """What words share that may be looked up for one another: their strokes, without hyphens, as a line's end may add one."""
+    return word.translate(STROKES).replace("-", "")
+
+
+class Asked(Reader):
+    """Collects the places of all that :meth:`Reader.repair` may look up for a text, whatever the vocabulary; ``longest`` is that of its places."""
+
+    def __init__(self, longest: int):
+        super().__init__({})
+        self.longest, self.places, self.atoms = longest, set(), {}
+
+    def _add(self, *words: str) -> None:
+        for word in words:
+            self.places.update(p for w in {word, *word.split("-")} if 0 < len(p := place_of(w)) <= self.longest)
+
+    def _whole(self, left: str, right: str, found: list[tuple[str, str]]) -> str:
+        """Any hyphen between the parts of a word may stay or go, so what stands between two of them is any run of parts."""
+        atoms = [*self.atoms.get(left, [left])]
+        atoms[-1] = atoms[-1][:-1]
+        left = left[:-1]
+        self._add(word_of(left) + word_of(right), word_of(left + right), word_of(left + "-" + right))
+        end = ""
+        for atom in reversed(atoms):  # runs that end with the first piece of the new part
+            end = atom.rpartition("-")[2] + end
+            self._add(word_of(end + right.partition("-")[0]))
+            if "-" in atom or len(end) > self.longest:
+                break
+        self.atoms[left + right] = [*atoms, right]
+        return left + right
+
+    def _read(self, token: str, found: list[tuple[str, str]]) -> str:
+        self._add(word_of(token))
+        return token
+
+
 def _recased(token: str, word: str, right: str) -> str:
     """``right`` in the place and case that ``word`` has in the token."""
     at = token.lower().find(word)
@@ -356,21 +419,57 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.where(F.length(text) > 0).select(text).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def common_words(df: DataFrame, text: str = "text", entities: DataFrame | None = None) -> tuple[dict[str, int], set[str]]:
-    """The words that come LEAST_COUNT times, of more than MOST_WORDS the commonest, and those of them that only names have.
+def common_words(df: DataFrame, text: str = "text", entities: DataFrame | None = None) -> tuple[dict[str, int], set[str], DataFrame | None]:
+    """The words that come LEAST_COUNT times, of more than MOST_WORDS the commonest; those of them that only names have; the other words.
 
-    Names matter only where they are in the vocabulary, which bounds both.
+    The others are a table ``(word, n, name, place)``, None if there are none; ``name`` tells whether only names have it. Names matter only where they are in the vocabulary, which bounds both.
     """
     counts = staged(word_counts(df, text), "words")
     known = counts.where(F.col("n") >= LEAST_COUNT)
-    size = known.count()
-    if size > MOST_WORDS:
+    rarer = None
+    if known.count() > MOST_WORDS:
         by_count = known.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n"))  # a row per different count
         upto = by_count.withColumn("upto", F.sum("words").over(Window.orderBy(F.desc("n"))))
         least = upto.where(F.col("upto") <= MOST_WORDS).agg(F.min("n")).first()[0] or 1 << 62
-        known = known.where(F.col("n") >= least)
-    names = set() if entities is None else {r[0] for r in known.join(name_words(entities).withColumnRenamed("w", "word"), "word", "left_semi").select("word").collect()}
-    return {r[0]: r[1] for r in known.collect()}, names  # at most MOST_WORDS
+        rarer, known = known.where(F.col("n") < least), known.where(F.col("n") >= least)
+    of_names = None if entities is None else name_words(entities).select(F.col("w").alias("word"))
+    names = set() if of_names is None else {r[0] for r in known.join(of_names, "word", "left_semi").select("word").collect()}
+    if rarer is not None:
+        flagged = rarer.withColumn("name", F.lit(False)) if of_names is None else rarer.join(of_names.withColumn("name", F.lit(True)), "word", "left").withColumn("name", F.coalesce("name", F.lit(False)))
+        rarer = staged(_with_places(flagged), "rarer")
+    return {r[0]: r[1] for r in known.collect()}, names, rarer  # at most MOST_WORDS
+
+
+def _with_places(words: DataFrame) -> DataFrame:
+    """``words (word, n, name)`` with the ``place`` of each."""
+    schema = StructType([StructField("word", StringType()), StructField("n", LongType()), StructField("name", BooleanType()), StructField("place", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = pa.array([place_of(w) for w in batch.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, places], names=schema.names)
+
+    return words.select("word", "n", "name").mapInArrow(run, schema)
+
+
+def _with_rarer(texts: DataFrame, rarer: DataFrame) -> DataFrame:
+    """``texts (key, text, heads)`` with ``more``, the rarer words ``(word, n, name)`` of the places that a text asks for."""
+    schema = StructType([texts.schema["key"], StructField("place", StringType())])
+    longest = rarer.agg(F.max(F.length("place"))).first()[0] or 0
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, places = [], []
+            for i, (text, heads) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2)))):
+                asked = Asked(longest)
+                asked.repair(text, set(heads or ()))
+                at += [i] * len(asked.places)
+                places += asked.places
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(places, pa.string())], names=schema.names)
+
+    asked = texts.mapInArrow(ask, schema).join(not_broadcast(rarer), "place")
+    more = asked.groupBy("key").agg(F.collect_list(F.struct("word", "n", "name")).alias("more"))  # of the words of one text
+    return texts.join(more, "key", "left")
 
 
 def name_words(entities: DataFrame) -> DataFrame:
@@ -406,7 +505,8 @@ def repair_scans(df: DataFrame, titles: DataFrame | None = None, entities: DataF
     columns don't matter; an empty table gives no rows. The vocabulary is counted by jobs that run at once.
     """
     spark = df.sparkSession
-    vocabulary = spark.sparkContext.broadcast((uuid.uuid4().hex, *common_words(df, text, entities)))
+    words, names, rarer = common_words(df, text, entities)
+    vocabulary = spark.sparkContext.broadcast((uuid.uuid4().hex, words, names))
     line = pa.struct([("line", pa.string()), ("alone", pa.bool_()), ("edge", pa.bool_())])
     kinds = ArrayType(StructType([StructField("line", StringType()), StructField("alone", BooleanType()), StructField("edge", BooleanType())]))
     found_schema = StructType([StructField("key", df.schema[key].dataType), StructField("paper", StringType()), StructField("text", StringType()), StructField("lines", kinds)])
@@ -444,11 +544,15 @@ def repair_scans(df: DataFrame, titles: DataFrame | None = None, entities: DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = reader_for(*vocabulary.value)
         for batch in batches:
-            done = [reader.repair(t, set(h or ())) for t, h in zip(*(batch.column(c).to_pylist() for c in (1, 2)))]
+            rows = zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))
+            done = [(ReaderOfText(reader, more) if more else reader).repair(t, set(h or ())) for t, h, more in rows]
             defects = pa.array([[{"defect": d, "item": i} for d, i in f] for _, f in done], kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), defects], names=out.names)
 
-    return joined.select("key", "text", "heads").mapInArrow(run, out)
+    asked = joined.select("key", "text", "heads")
+    none = F.lit(None).cast("array<struct<word: string, n: bigint, name: boolean>>")
+    asked = asked.withColumn("more", none) if rarer is None else _with_rarer(staged(asked, "asked"), rarer)
+    return asked.select("key", "text", "heads", "more").mapInArrow(run, out)
 
 
 def defects(repaired: DataFrame, key: str = "chunk_id") -> DataFrame:

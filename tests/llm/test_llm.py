@@ -359,6 +359,39 @@ def test_confusions_keep_the_strokes(word, pick):
         assert options[pick % len(options)].translate(scanned.STROKES) == word.translate(scanned.STROKES)
 
 
+@pytest.mark.parametrize("most", [0, 3, 9])
+def test_words_beyond_the_broadcast_count_as_well(spark, monkeypatch, most):
+    """A small broadcast gives what a large one gives: split, misread, hyphenated and suspended words, and names."""
+    clean = ("the membrane was however stable under the dose-dependent treatment and pre- and postnatal " * 20 + "non-linear membrane antidisestablishment Zorbamil stable ") * 3
+    page = "the membrane was how-\never stab1e under the dose-\ndependent treatrnent and the mem­\nbrane\nanti-\ndisesta-\nblishrnent was\nnon-\nlin-\near and pre-\nand postnatal Zorbarnil\nwas non-linea and the dose-dependent-treatrnent of\nmernbrane and how-\nevcr the end."
+    rows = [(f"c{i}", "p", clean) for i in range(5)] + [(f"s{i}", f"p{i}", f"{page} It was run {i}.") for i in range(3)]
+    df = spark.createDataFrame(rows, "chunk_id string, paper_id string, text string")
+    entities = spark.createDataFrame([("Zorbamil", None)], "name string, aliases array<string>")
+    repaired = lambda: sorted((r["chunk_id"], r["text"], str(r["defects"])) for r in scanned.repair_scans(df, entities=entities).collect())
+    whole = repaired()
+    assert len(whole) == 3 and "antidisestablishment" in whole[0][1] and "Zorbarnil" in whole[0][1]
+    monkeypatch.setattr(scanned, "MOST_WORDS", most)
+    assert repaired() == whole
+
+
+def test_texts_ask_for_all_that_they_look_up():
+    """With any vocabulary, a reader that has only the words of the places that a text asks for gives the same."""
+    rng = random.Random(5)
+    stems = ["".join(rng.choice("ariclnmdoe") for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    word = lambda: rng.choice(["", "", "-"]).join(rng.choice(stems) for _ in range(rng.randint(1, 4)))
+    for _ in range(60):
+        vocabulary = {word(): rng.choice([4, 50, 5000]) for _ in range(400)}
+        names = {w for w in vocabulary if rng.random() < 0.1}
+        text = "\n".join(" ".join(word() for _ in range(rng.choice([1, 1, 3]))) + rng.choice(["-", "-", "", "­"]) for _ in range(40)) + "\nthe end"
+        whole = scanned.Reader(vocabulary, names).repair(text, set())
+        held = {w: n for w, n in vocabulary.items() if rng.random() < 0.3}
+        asked = scanned.Asked(max(len(scanned.place_of(w)) for w in vocabulary))
+        asked.repair(text, set())
+        more = [{"word": w, "n": n, "name": w in names} for w, n in vocabulary.items() if w not in held and scanned.place_of(w) in asked.places]
+        common = scanned.Reader(held, {w for w in names if w in held})
+        assert scanned.ReaderOfText(common, more).repair(text, set()) == whole
+
+
 # -- 7 -----------------------------------------------------------------------------------------------------------------
 
 
