@@ -325,14 +325,10 @@ class ReaderOfText(Reader):
 
     def __init__(self, common: Reader, more: list[dict]):
         super().__init__({r["word"]: r["n"] for r in more})
-        self.common, self.rarer = common, self.alike
         self.count = ChainMap(self.count, common.count)
         self.names = _Either({r["word"] for r in more if r["name"]}, common.names)
-        self.alike = ChainMap({k: [*common.alike.get(k, ()), *v] for k, v in self.rarer.items()}, common.alike)
-        self.own = {r["word"].translate(STROKES) for r in more}
-
-    def right(self, word: str) -> str | None:
-        return super().right(word) if word.translate(STROKES) in self.own else self.common.right(word)
+        self.alike = ChainMap({k: [*common.alike.get(k, ()), *v] for k, v in self.alike.items()}, common.alike)
+        self.known = common.known  # a place is given whole or has no rarer words, so every text reads a word alike
 
 
 def place_of(word: str) -> str:
@@ -458,7 +454,7 @@ def _with_rarer(texts: DataFrame, rarer: DataFrame) -> DataFrame:
     longest = rarer.agg(F.max(F.length("place"))).first()[0] or 0
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             at, places = [], []
             for i, (text, heads) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2)))):
                 asked = Asked(longest)
@@ -544,8 +540,10 @@ def repair_scans(df: DataFrame, titles: DataFrame | None = None, entities: DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = reader_for(*vocabulary.value)
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))
-            done = [(ReaderOfText(reader, more) if more else reader).repair(t, set(h or ())) for t, h, more in rows]
+            done = []
+            for t, h, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                own = ReaderOfText(reader, more.as_py()) if more.is_valid else reader  # the words of one text at a time
+                done.append(own.repair(t, set(h or ())))
             defects = pa.array([[{"defect": d, "item": i} for d, i in f] for _, f in done], kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), defects], names=out.names)
 
